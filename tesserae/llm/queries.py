@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query name: module of this package with query(spark, sf_dir) and, perhaps, SQL.
 MODULES = {
+    "op3_html_extraction": "html_extract",
+    "op5_language_id": "language_id",
     "op2_best_fit_packing": "packing",
     "op4_chat_formatting": "chat_format",
     "op9_quality_rules": "quality_rules",
