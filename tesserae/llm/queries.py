@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name: module of this package with query(spark, sf_dir) and, perhaps, SQL.
 MODULES = {
+    "op8_toxicity": "toxicity",
     "op6_lm_scoring": "lm_score",
     "op7_suffix_array_dedup": "suffix_dedup",
     "op10_jaccard_join": "jaccard_join",
