@@ -268,7 +268,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> D
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Documents (doc_id, text, lang, source, n_chars) without repeated strings; those of which nothing but white space is left go."""
     out = deduplicated(docs, length)
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", F.lit("UTF-8"))).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
     out = out.select("doc_id", text.alias("text"), "lang", "source", "n_removed").withColumn("n_chars", F.length("text").cast("long"))
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text", "lang", "source", "n_chars")
 
