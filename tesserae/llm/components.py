@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping, in DataFrame operations."""
+"""Connected components by contraction, in DataFrame operations."""
 
 from __future__ import annotations
 
@@ -11,21 +11,26 @@ from .common import discard, stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of edges (a, b), both long; label: the least node of the component.
 
-    Every round takes the least label among neighbours and then the label's own label, so that the
-    rounds grow with the logarithm of a chain's length. Labels are written to the shared folder
-    after each round; only the number of changes reaches the driver.
+    Every round, each node goes to the least of itself and its neighbours, and the edges follow;
+    those inside a node and those that repeat vanish, so that the rounds grow with the logarithm of
+    a component and the rows shrink from round to round. Each round's edges and labels are written
+    to the shared folder; only whether an edge is left reaches the driver.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("via"))
-        above = labels.select(F.col("node").alias("via"), F.col("label").alias("up"))
-        after = stored(least.join(above, "via", "left").select("node", "old", F.least("via", F.coalesce("up", "via")).alias("label")), "labels")
-        discard(labels)
-        changed = after.where("old != label").limit(1).count()
-        labels = after.drop("old")
-        labels._tesserae_path = after._tesserae_path
-        if not changed:
-            discard(both)
-            return labels
+    rest = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
+    labels = None
+    while rest.limit(1).count():
+        up = stored(rest.groupBy("a").agg(F.least("a", F.min("b")).alias("up")), "up")
+        if labels is None:
+            after = stored(up.select(F.col("a").alias("node"), F.col("up").alias("label")), "labels")
+        else:
+            after = stored(labels.join(up, labels.label == up.a, "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+            discard(labels)
+        one = rest.join(up, "a").select(F.col("up").alias("x"), "b")
+        two = one.join(up.withColumnsRenamed({"a": "b", "up": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        fewer = stored(two.where("a != b").distinct(), "edges")
+        discard(rest)
+        discard(up)
+        labels, rest = after, fewer
+    if labels is None:
+        return rest.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return labels

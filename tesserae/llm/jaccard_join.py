@@ -5,7 +5,7 @@ Documents are sets of word N-grams (5 words [^\\x20\\x09-\\x0D]+; a text of fewe
 2. Classes that agree in 4 successive values (32 bands) meet in a bucket. Values of a pair are
    compared 16 at a time; it is dropped as soon as the posterior probability (uniform prior) that
    its similarity reaches the threshold falls below TOLERANCE. What survives links classes into
-   groups, by union within a bucket and by label propagation between buckets; no pair is emitted.
+   groups, by union within a bucket and by contraction between buckets; no pair is emitted.
 3. The grams of a group's classes meet in blocks; pairs pass the incremental comparison on all 128
    values and are then verified exactly. Each block returns counts of links and a spanning forest.
 A bucket or group of more than BLOCK members is dealt to pairs of blocks, so that no task holds
@@ -158,9 +158,9 @@ def _survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray):
     return a, b
 
 
-def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n rows the first row it is linked to by pairs, itself if none."""
-    label = np.arange(n)
+def _least_ids(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row the least id among the rows that pairs (a, b) of rows connect it to."""
+    label = np.arange(len(ids))
     while len(a):
         before = label.copy()
         np.minimum.at(label, a, label[b])
@@ -168,7 +168,9 @@ def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = label[label]
         if (label == before).all():
             break
-    return label
+    least = ids.copy()
+    np.minimum.at(least, label, ids)
+    return least[label]
 
 
 def _linked(batches):
@@ -178,10 +180,10 @@ def _linked(batches):
         side, cross = np.asarray(t["side"]), np.asarray(t["low"]) != np.asarray(t["high"])
         found = [_survivors(sig, a, b) for a, b in _pairs(heads, side, cross)]
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-        label = _least_labels(t.num_rows, a, b)
         ids = np.asarray(t["set_id"])
-        at = np.flatnonzero(ids[label] != ids)
-        edges = np.unique(np.stack([ids[at], ids[label[at]]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        least = _least_ids(ids, a, b)
+        at = np.flatnonzero(least != ids)
+        edges = np.unique(np.stack([ids[at], least[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
 
@@ -226,11 +228,11 @@ def _verified(batches):
                 found.append((a[ok], b[ok]))
             a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
             ids, copies = np.asarray(t["set_id"]), np.asarray(t["copies"])
-            label = _least_labels(n, a, b)
+            least = _least_ids(ids, a, b)
             links = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
             others = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
             at = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at], pa.int64()), pa.array(others[at].astype(np.int64)), pa.array(ids[label[at]])], ["set_id", "links", "others", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at], pa.int64()), pa.array(others[at].astype(np.int64)), pa.array(least[at])], ["set_id", "links", "others", "root"])
 
 
 def _blocked(members: DataFrame, key: str, count: str, block: int) -> DataFrame:
