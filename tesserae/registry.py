@@ -144,7 +144,7 @@ def _vocab(spark, sf_dir):
     return indexed(spark, sf_dir).vocab
 
 
-@query("postings", f"WITH {CORPUS} SELECT term, t.rowid, col, string_agg(at, ',' ORDER BY at) AS pos, any_value(len)::INT AS len FROM tok t JOIN lens USING (rowid) GROUP BY term, t.rowid, col")
+@query("postings", f"WITH {CORPUS} SELECT term, t.rowid, col, string_agg(t.at, ',' ORDER BY t.at) AS pos, any_value(len)::INT AS len FROM tok t JOIN lens USING (rowid) GROUP BY term, t.rowid, col")
 def _postings(spark, sf_dir):
     return index.postings(corpus(spark, sf_dir)[1]).withColumn("pos", F.array_join(F.transform("pos", lambda x: x.cast("string")), ",")).withColumn("col", F.col("col").cast("int"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,18 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return files, chunks
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> Index:
+_built: dict[tuple[str, str], Index] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, keep: bool = True) -> Index:
+    """The index of the driver's tables; built once in a session and kept in its executors' storage (memory, then disk)."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if keep and key not in _built:
+        _built[key] = indexed(spark, sf_dir, keep=False)
+        for df in (_built[key].postings, _built[key].vocab, _built[key].stats):
+            df.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep:
+        return _built[key]
     files, chunks = corpus(spark, sf_dir)
     posts = index.postings(chunks)
     return Index(files, chunks, posts, index.corpus_stats(index.doc_stats(chunks)), index.vocabulary(posts))
