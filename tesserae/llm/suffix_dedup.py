@@ -113,14 +113,14 @@ def _cut_out(length: int):
     def run(batches):
         for part, data, offsets in text_blocks(batches, "text", 1 << 22):
             wanted = part.column(part.schema.get_field_index("wanted")).to_pylist()
-            out: dict[str, list] = {c: [] for c in ("mini", "content", "single", "text_key", "start", "n", "body")}
+            out: dict[str, list] = {c: [] for c in ("mini", "kinds", "content", "single", "text_key", "start", "n", "body")}
             for i, row in enumerate(wanted):
                 body = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in row:
                     out["body"].append(body[x["start"] : x["start"] + x["n"] - 1 + length])
-                    for c in ("mini", "content", "single", "text_key", "start", "n"):
+                    for c in ("mini", "kinds", "content", "single", "text_key", "start", "n"):
                         out[c].append(x[c])
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
     return run
@@ -216,10 +216,10 @@ def spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFram
     buckets = sums.where("kinds > 1 and singles > 0 or own > 0").select("mini", "kinds")
     wanted = each.join(buckets, "mini").select("mini", "kinds", "content", "n", single.alias("single"), "place.*")
     n = F.ceil(F.col("kinds") / block).cast("int")
-    places = wanted.groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("mini", "content", "single", "text_key", "start", "n")).alias("wanted"))
+    places = wanted.groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("mini", "kinds", "content", "single", "text_key", "start", "n")).alias("wanted"))
     met = rows.join(places.withColumnsRenamed({"text_key": "key", "doc_id": "id"}), (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    bodies = met.select("wanted", "text").mapInArrow(_cut_out(length), "mini long, content long, single boolean, text_key long, start int, n int, body binary")
-    dealt = bodies.join(buckets, "mini").withColumn("side", F.pmod(F.xxhash64("content"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    bodies = met.select("wanted", "text").mapInArrow(_cut_out(length), "mini long, kinds long, content long, single boolean, text_key long, start int, n int, body binary")
+    dealt = bodies.withColumn("side", F.pmod(F.xxhash64("content"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "kinds")
     checked = dealt.repartition("mini", "low", "high").sortWithinPartitions("mini", "low", "high").mapInArrow(_repeated(length), "text_key long, start int, n int")
     twice = each.where("count > 1").select("mini", "content", "n")
