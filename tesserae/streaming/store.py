@@ -19,7 +19,7 @@ class Snapshots:
         if not self._fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted((int(n.split("-")[1]), int(n.split("-")[2])) for n in names if n.startswith("done-"))
+        return sorted((int(n.split("-")[1]), int(n.split("-")[2]) - 1) for n in names if n.startswith("done-"))
 
     def version(self) -> int:
         return max([0, *(v for v, _ in self._versions())])
@@ -39,7 +39,7 @@ class Snapshots:
         v, batch = self.version() + 1, self.batch() if batch is None else batch
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/v{v}/{name}")
-        self._fs.create(self._path(f"{self.root}/done-{v}-{batch}"), True).close()
+        self._fs.create(self._path(f"{self.root}/done-{v}-{batch + 1}"), True).close()
         return v
 
     def reset(self) -> None:
