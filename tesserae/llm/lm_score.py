@@ -119,7 +119,7 @@ def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
 def _rows(kind: str, shards: np.ndarray, keys: np.ndarray, counts: np.ndarray):
     """A batch with a row for each shard; keys come ascending by shard."""
     heads = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(keys) else np.zeros(0, int)
-    ends = np.append(heads[1:], len(keys))
+    ends = np.append(heads[1:], len(keys))[: len(heads)]
     small = np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.int64
     parts = [(kind, int(shards[s]), _packed(keys[s:e]), bytes([small is np.int64]) + _packed(counts[s:e].astype(small))) for s, e in zip(heads, ends, strict=True)]
     cols = list(zip(*parts, strict=True)) if parts else [[]] * 4
@@ -188,7 +188,9 @@ class Model:
         self.size = int(bases[-1])
 
     def by_shard(self, shards: np.ndarray):
-        heads = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else np.zeros(0, int)
+        if not len(shards):
+            return iter(())
+        heads = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]]))
         return zip(shards[heads].tolist(), heads.tolist(), np.append(heads[1:], len(shards)).tolist(), strict=True)
 
     def ids(self, tokens: np.ndarray) -> np.ndarray:
