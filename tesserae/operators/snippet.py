@@ -23,7 +23,7 @@ def spans(body: str) -> list[tuple[str, int, int]]:
             if not word:
                 start = i
             word += fold_text(c)
-        elif word and "̀" <= c <= "ͯ":
+        elif word and 0x300 <= ord(c) <= 0x36F:
             continue
         elif word:
             out.append((word, start, i))
