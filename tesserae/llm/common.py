@@ -3,6 +3,9 @@ and vectorised word, line and window hashing over the UTF-8 buffers of Arrow bat
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -27,12 +30,15 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder named by spark.checkpoint.dir. Where none is set: for a local master one that is removed at exit, else one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file:/tmp/checkpoints/tesserae"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and spark.sparkContext.master.startswith("local["):
+        own = f"/tmp/checkpoints/tesserae-{os.getpid()}"
+        if not os.path.isdir(own):
+            os.makedirs(own)
+            atexit.register(shutil.rmtree, own, True)
+        found = f"file:{own}"
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/tesserae-scratch").rstrip("/")
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -56,9 +62,9 @@ def discard(df: DataFrame) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def remainder(doc_id: str | Column, n: int) -> Column:
+def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % n if isinstance(doc_id, Column) else F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
