@@ -113,8 +113,11 @@ def _cut_out(length: int):
     def run(batches):
         for part, data, offsets in text_blocks(batches, "text", 1 << 22):
             wanted = part.column(part.schema.get_field_index("wanted")).to_pylist()
+            ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
             out: dict[str, list] = {c: [] for c in ("mini", "kinds", "content", "single", "text_key", "start", "n", "body")}
             for i, row in enumerate(wanted):
+                if row[0]["doc_id"] != ids[i]:  # a copy of the text that is read already
+                    continue
                 body = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in row:
                     out["body"].append(body[x["start"] : x["start"] + x["n"] - 1 + length])
@@ -204,10 +207,17 @@ def _repeated(length: int):
     return run
 
 
-def spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """(text_key, spans array<struct<start, n>>): the windows of each text that start elsewhere too, as runs of start places."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    found = rows.mapInArrow(_found(length), f"doc_id long, text_key long, found {STRETCHES}").select("doc_id", "text_key", F.inline("found"))
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("lang", "source") if c in docs.columns], F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+
+
+def spans(rows: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
+    """(text_key, spans array<struct<start, n>>): the windows of each text that start elsewhere too, as runs of start places.
+
+    rows: keyed(docs). Its columns all go through the join that fetches texts, so that the shuffle is
+    the same as that of deduplicated() and is run once.
+    """
+    found = rows.select("doc_id", "text_key", "text").mapInArrow(_found(length), f"doc_id long, text_key long, found {STRETCHES}").select("doc_id", "text_key", F.inline("found"))
     texts = stored(found.groupBy("mini", "content", "n", "text_key", "start").agg(F.count("*").alias("count"), F.min("doc_id").alias("doc_id"), F.bool_or("again").alias("again")), "stretches")
     each = texts.groupBy("mini", "content", "n").agg(F.sum("count").alias("count"), F.min(F.struct("text_key", "start", "doc_id")).alias("place"), F.bool_or("again").alias("again"))
     each = stored(each, "contents")
@@ -216,9 +226,8 @@ def spans(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFram
     buckets = sums.where("kinds > 1 and singles > 0 or own > 0").select("mini", "kinds")
     wanted = each.join(buckets, "mini").select("mini", "kinds", "content", "n", single.alias("single"), "place.*")
     n = F.ceil(F.col("kinds") / block).cast("int")
-    places = wanted.groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("mini", "kinds", "content", "single", "text_key", "start", "n")).alias("wanted"))
-    met = rows.join(places.withColumnsRenamed({"text_key": "key", "doc_id": "id"}), (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    bodies = met.select("wanted", "text").mapInArrow(_cut_out(length), "mini long, kinds long, content long, single boolean, text_key long, start int, n int, body binary")
+    places = wanted.groupBy("text_key").agg(F.collect_list(F.struct("mini", "kinds", "content", "single", "text_key", "start", "n", "doc_id")).alias("wanted"))
+    bodies = rows.join(places, "text_key").mapInArrow(_cut_out(length), "mini long, kinds long, content long, single boolean, text_key long, start int, n int, body binary")
     dealt = bodies.withColumn("side", F.pmod(F.xxhash64("content"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "kinds")
     checked = dealt.repartition("mini", "low", "high").sortWithinPartitions("mini", "low", "high").mapInArrow(_repeated(length), "text_key long, start int, n int")
@@ -258,11 +267,11 @@ def _removed(length: int):
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, lang, source, n_bytes, n_removed, n_spans, kept_sha256, removed (byte runs), kept (the bytes left)."""
-    found = spans(docs, length, block)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    met = keyed.join(found, "text_key", "left").drop("text_key")
-    return met.mapInArrow(_removed(length), "doc_id long, lang string, source string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: int, end: int>>, kept binary")
+    """One row per document: doc_id, lang and source if docs has them, n_bytes, n_removed, n_spans, kept_sha256, removed (byte runs), kept (the bytes left)."""
+    rows = keyed(docs)
+    met = rows.join(spans(rows, length, block), "text_key", "left").drop("text_key")
+    rest = "".join(f"{c} string, " for c in ("lang", "source") if c in docs.columns)
+    return met.mapInArrow(_removed(length), f"doc_id long, {rest}n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: int, end: int>>, kept binary")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -274,5 +283,5 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return deduplicated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
