@@ -27,10 +27,11 @@ read.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, text_blocks
@@ -168,9 +169,28 @@ def features(codes, zeros, rows, n: int, table, bias) -> np.ndarray:
     return out
 
 
-def _block(texts: list[str]):
-    data = [t.encode("utf-8", "replace") for t in texts]
-    return folded(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
+def _words(texts: list[str]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """All distinct folded words of LEAST letters or more, those of each text as numbers, and the texts' counts of words."""
+    number: dict[str, int] = {}
+    found, counts = [], []
+    for k in range(0, len(texts), 100):
+        data = [t.encode("utf-8", "replace") for t in texts[k : k + 100]]
+        codes, zeros, rows = folded(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
+        raw = codes.tobytes().decode("latin-1")
+        ends = np.append(zeros[1:], len(codes) - 1)
+        own: list[set[int]] = [set() for _ in data]
+        for s, e, r in zip(zeros.tolist(), ends.tolist(), rows.tolist(), strict=True):
+            if e - s - 1 >= LEAST:
+                own[r].add(number.setdefault(raw[s + 1 : e], len(number)))
+        found += [np.array(sorted(x), np.int32) for x in own]
+        counts.append(np.bincount(rows, minlength=len(data)))
+    return list(number), found, np.concatenate(counts)
+
+
+def _groups(word: str) -> np.ndarray:
+    """Hashes (under 2^22) of the letter groups of four to six signs of a word and its two ends."""
+    w = f"\0{word}\0".encode("latin-1")
+    return np.array([zlib.crc32(w[i : i + n]) >> 10 for n in (4, 5, 6) for i in range(len(w) - n + 1)], np.int32)
 
 
 def trained(samples: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict | None:
@@ -179,61 +199,59 @@ def trained(samples: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict
     labels = np.array([y for _, y in samples])
     if not 0 < labels.sum() < len(labels):
         return None
-    codes, zeros, rows = _block([t for t, _ in samples])
-    ends = np.append(zeros[1:], len(codes) - 1)
-    raw = codes.tobytes().decode("latin-1")
-    words_of: list[list[str]] = [[] for _ in samples]
-    for s, e, r in zip(zeros.tolist(), ends.tolist(), rows.tolist(), strict=True):
-        if e - s - 1 >= LEAST:
-            words_of[r].append(raw[s + 1 : e])
-    words_of = [sorted(set(w)) for w in words_of]
-    toxic, clean = [w for w, y in zip(words_of, labels, strict=True) if y == 1 and w], [w for w, y in zip(words_of, labels, strict=True) if y == 0]
+    words, of_text, counts = _words([t for t, _ in samples])
+    toxic = [x for x, y in zip(of_text, labels, strict=True) if y == 1 and len(x)]
+    clean = [x for x, y in zip(of_text, labels, strict=True) if y == 0]
     if not toxic:
         return None
-    groups = lambda w: {x[i : i + n] for x in (f"\0{w}\0",) for n in (4, 5, 6) for i in range(len(x) - n + 1)}
-    often = [{}, {}]
-    for k, docs in enumerate((clean, toxic)):
-        for words in docs:
-            for g in set().union(*map(groups, words)):
-                often[k][g] = often[k].get(g, 0) + 1
-    n0, n1 = len(clean) + 1, len(toxic) + 1
-
-    def telling(w: str) -> float:
-        """How far the commonest of its letter groups exceed in toxic documents what clean ones make us expect."""
-        return max((often[1].get(g, 0) - (e := (often[0].get(g, 0) + 0.5) / n0 * n1)) / np.sqrt(e + 1) for g in groups(w))
-
-    value = {w: telling(w) for words in toxic for w in words}
-    known_clean = {w for words in clean for w in words}
-    pool = sorted(known_clean, key=lambda w: hash_of(w))
-    table = bias = None
+    groups = [_groups(w) for w in words]
+    often = np.zeros((2, 1 << 22), np.int32)
+    for k, texts in enumerate((clean, toxic)):
+        for x in texts:
+            if len(x):
+                often[k, np.unique(np.concatenate([groups[w] for w in x]))] += 1
+    # how far the commonest of a word's letter groups exceed in toxic documents what clean ones make us expect
+    expected = (often[0] + 0.5) / (len(clean) + 1) * (len(toxic) + 1)
+    excess = ((often[1] - expected) / np.sqrt(expected + 1)).astype(np.float32)
+    value = np.array([excess[g].max() for g in groups])
+    del often, expected, excess, groups
+    in_clean = np.zeros(len(words), bool)
+    for x in clean:
+        in_clean[x] = True
+    pool = sorted(np.flatnonzero(in_clean).tolist(), key=lambda w: hash_of(words[w]))[:8000]
+    codes = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("latin-1"), np.uint8)
+    zeros = np.flatnonzero(codes == 0)[:-1]
+    score = None
     for _ in range(ROUNDS):
-        positive = []
-        for words in toxic:
-            best = max(value[w] for w in words)
-            positive += [w for w in words if value[w] >= max(best * 0.6, 1e-9) and w not in known_clean] or [max(words, key=lambda w: (value[w], w))]
-        times: dict[str, int] = {}
-        for w in positive:
-            times[w] = times.get(w, 0) + 1
-        pos = sorted(times)
-        hard = sorted(known_clean - set(pos), key=lambda w: (-score[w], w))[:4000] if table is not None else []
-        neg = sorted({*hard, *[w for w in pool[:8000] if w not in times]})
-        chosen = sorted(pos, key=lambda w: (-times[w], w))[: landmarks // 2]
-        chosen += (hard or neg)[: landmarks - len(chosen)]
+        times: dict[int, int] = {}
+        for x in toxic:
+            best = value[x].max()
+            chosen = x[(value[x] >= max(best * 0.6, 1e-9)) & ~in_clean[x]]
+            for w in chosen.tolist() if len(chosen) else [max(x.tolist(), key=lambda w: (value[w], words[w]))]:
+                times[w] = times.get(w, 0) + 1
+        pos = sorted(times, key=lambda w: words[w])
+        hard = [] if score is None else sorted(set(np.flatnonzero(in_clean).tolist()) - set(pos), key=lambda w: (-score[w], words[w]))[:4000]
+        neg = sorted({*hard, *(w for w in pool if w not in times)}, key=lambda w: words[w])
+        chosen = sorted(pos, key=lambda w: (-times[w], words[w]))[: landmarks // 2]
+        chosen = [words[w] for w in chosen + (hard or neg)[: landmarks - len(chosen)]]
         dense = np.zeros((1 << 15, len(chosen)), np.float32)
         for k, (t, v) in enumerate(vectors(chosen)):
             np.add.at(dense[:, k], t, v)
         value_k, vector_k = np.linalg.eigh(kernel(chosen, dense).astype(np.float64) + 1e-3 * np.eye(len(chosen)))
         root = vector_k @ np.diag(1 / np.sqrt(np.maximum(value_k, 1e-3))) @ vector_k.T
-        x = np.vstack([kernel(pos, dense), kernel(neg, dense)]) @ root
+        x = kernel([words[w] for w in pos + neg], dense) @ root.astype(np.float32)
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         cost = np.concatenate([np.sqrt([times[w] for w in pos]), np.ones(len(neg))])
         cost[: len(pos)] *= len(neg) / max(cost[: len(pos)].sum(), 1) * 0.5
         w = svm(x, y, cost)
-        table, bias = (dense @ (root @ w[:-1])).astype(np.float32), float(w[-1])
-        all_margins = margins(codes, zeros, table, bias)
-        score = {raw[s + 1 : e]: m for s, e, m in zip(zeros.tolist(), ends.tolist(), all_margins.tolist(), strict=True)}
-        value = {w: score[w] + 1 for words in toxic for w in words}
-    found = features(codes, zeros, rows, len(samples), table, bias)
+        table, bias = (dense @ (root @ w[:-1]).astype(np.float32)), float(w[-1])
+        score = margins(codes, zeros, table, bias)
+        value = score + 1
+    found = np.full((len(samples), 4), FLOOR)
+    found[:, 3] = np.log1p(counts)
+    for k, x in enumerate(of_text):
+        top = np.unique(np.append(score[x], FLOOR))[::-1][:3]
+        found[k, : len(top)] = top
     return {"table": table, "bias": bias, "weights": logistic(found, labels.astype(float)), "landmarks": chosen}
 
 
@@ -258,11 +276,18 @@ def _score(model: dict | None):
     return run
 
 
-def sampled(labelled: DataFrame, rows: int = ROWS, chars: int = CHARS) -> list[tuple[str, int]]:
-    """At most rows texts of each label of (text, toxic), those of the lowest text hash."""
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("text"), "text")
-    few = labelled.where(F.col("toxic").isin(0, 1)).select("toxic", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
-    return [(r.text, int(r.toxic)) for r in few.select("toxic", F.substring("text", 1, chars).alias("text")).collect()]
+def sampled(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> list[tuple[str, int]]:
+    """At most rows texts of each label, those of the lowest text hash, from docs (doc_id, text) and labels (doc_id, toxic).
+
+    Only ids and hashes meet the labels; the lowest of each label are taken in every task first. The
+    texts of the rows chosen (at most twice rows) are fetched by a broadcast of their ids.
+    """
+    keys = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic"), "doc_id")
+    lowest = [keys.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(rows) for y in (0, 1)]
+    chosen = lowest[0].unionByName(lowest[1]).distinct().withColumnsRenamed({"doc_id": "id", "h": "hash"})
+    met = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hash")))
+    few = met.select("id", "toxic", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).distinct()
+    return [(r.text, int(r.toxic)) for r in few.collect()]
 
 
 def scored(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -274,4 +299,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = remainder("doc_id", 5) == 0
-    return scored(docs.select("doc_id", out.alias("held_out"), "text"), trained(sampled(docs.where(~out).join(labels, "doc_id").select("text", "toxic"))))
+    return scored(docs.select("doc_id", out.alias("held_out"), "text"), trained(sampled(docs.where(~out).select("doc_id", "text"), labels)))
