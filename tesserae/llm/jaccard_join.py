@@ -300,10 +300,10 @@ def joined(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def thinned(docs: DataFrame) -> DataFrame:
     """One document of each class (doc_id, text, lang, source, n_chars): that of the least id, one of rows that repeat. Texts without a word all stay."""
     keep = joined(docs).where("first").select(F.col("doc_id").alias("keep_id"), "text_key").distinct()
-    keyed = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    met = keyed.join(keep, keyed.doc_id.eqNullSafe(keep.keep_id) & (keyed.text_key == keep.text_key), "left_semi")
     wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return met.where(wordless).drop("text_key").unionByName(met.where(~wordless).dropDuplicates(["doc_id", "text_key"]).drop("text_key"))
+    keyed = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.when(wordless, F.monotonically_increasing_id()).otherwise(-1).alias("row"))
+    met = keyed.join(keep, keyed.doc_id.eqNullSafe(keep.keep_id) & (keyed.text_key == keep.text_key), "left_semi")
+    return met.dropDuplicates(["doc_id", "text_key", "row"]).drop("text_key", "row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
