@@ -15,7 +15,8 @@ triple of characters; a text is scored through this table in time linear in its
 highest word margins and the text's length give the score by logistic regression.
 
 Training takes at most ROWS labelled rows of each label, those of the lowest text hash, and CHARS
-characters of each; scoring takes whole texts.
+characters of each; scoring takes whole texts. The rows are of different texts: copies of a text count
+once for each label, however many they are, so that no group of copies shuts other texts out.
 
 Defined results: a null or empty text has the score of a text without a word; rows with a null label
 are not learned from; documents with several labels are learned from with each; rows that repeat get
@@ -277,14 +278,15 @@ def _score(model: dict | None):
 
 
 def sampled(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> list[tuple[str, int]]:
-    """At most rows texts of each label, those of the lowest text hash, from docs (doc_id, text) and labels (doc_id, toxic).
+    """At most rows different texts of each label, those of the lowest text hash, from docs (doc_id, text) and labels (doc_id, toxic).
 
-    Only ids and hashes meet the labels; the lowest of each label are taken in every task first. The
-    texts of the rows chosen (at most twice rows) are fetched by a broadcast of their ids.
+    Only ids and hashes meet the labels, and copies fall together before the lowest of each label are
+    taken. The texts of the rows chosen (at most twice rows) are fetched by a broadcast of their ids.
     """
     keys = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic"), "doc_id")
-    lowest = [keys.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(rows) for y in (0, 1)]
-    chosen = lowest[0].unionByName(lowest[1]).distinct().withColumnsRenamed({"doc_id": "id", "h": "hash"})
+    texts = keys.groupBy(F.col("h").alias("hash"), "toxic").agg(F.min("doc_id").alias("id"))
+    chosen = [texts.where(F.col("toxic") == y).orderBy("hash").limit(rows) for y in (0, 1)]
+    chosen = chosen[0].unionByName(chosen[1])
     met = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hash")))
     few = met.select("id", "toxic", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).distinct()
     return [(r.text, int(r.toxic)) for r in few.collect()]

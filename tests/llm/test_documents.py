@@ -250,3 +250,12 @@ def test_toxicity(spark, odd, none):
     plain = odd.selectExpr("doc_id", "text", "true held_out").distinct()
     assert toxicity.scored(plain, model).count() == plain.count() and toxicity.trained([("a", 0)]) is None and toxicity.scored(plain.limit(0), model).count() == 0
     assert {r.score for r in toxicity.scored(plain, None).collect()} == {0.0}
+
+
+def test_toxicity_sample_is_of_different_texts(spark):
+    rows = [(i, "one and the same text") for i in range(50)] + [(100 + i, f"text of its own {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k in (0, 1) for i, _ in rows], "doc_id long, toxic int")
+    for bound, found in ((21, 21), (10, 10)):
+        got = toxicity.sampled(docs, labels, bound)
+        assert len(got) == len(set(got)) == 2 * found and {y for _, y in got} == {0, 1}
