@@ -14,8 +14,10 @@ product of subsequence counts, the decision function folds into one table of wei
 triple of characters; a text is scored through this table in time linear in its length. The three
 highest word margins and the text's length give the score by logistic regression.
 
-Training takes at most ROWS labelled rows of each label, those of the lowest text hash, and CHARS
-characters of each; scoring takes whole texts. The rows are of different texts: copies of a text count
+Training takes at most ROWS labelled rows of each label, those of the lowest text hash, as many of
+them as have WORDS distinct words in all (a text's words count once in each text), one at least; of
+the rows taken, as of those scored, the whole text is read. POOL words of clean texts, those of the
+lowest hash, and the HARD ones of the highest margins are the negatives of a round. The rows are of different texts: copies of a text count
 once for each label, however many they are, so that no group of copies shuts other texts out.
 
 Defined results: a null or empty text has the score of a text without a word; rows with a null label
@@ -35,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, text_blocks
+from .common import discard, remainder, stored, text_blocks
 
-ROWS, CHARS, LANDMARKS, DECAY, SPAN, ROUNDS, LEAST, FLOOR, TOP = 2000, 20_000, 256, 0.5, 4, 3, 3, -2.0, 2.0
+ROWS, WORDS, POOL, HARD, LANDMARKS, DECAY, SPAN, ROUNDS, LEAST, FLOOR, TOP = 2000, 1 << 20, 8000, 4000, 256, 0.5, 4, 3, 3, -2.0, 2.0
 OFFSETS = [(j, k) for k in range(2, SPAN + 1) for j in range(1, k)]
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _known: dict = {}
@@ -170,22 +172,24 @@ def features(codes, zeros, rows, n: int, table, bias) -> np.ndarray:
     return out
 
 
-def _words(texts: list[str]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
-    """All distinct folded words of LEAST letters or more, those of each text as numbers, and the texts' counts of words."""
-    number: dict[str, int] = {}
-    found, counts = [], []
-    for k in range(0, len(texts), 100):
-        data = [t.encode("utf-8", "replace") for t in texts[k : k + 100]]
-        codes, zeros, rows = folded(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
-        raw = codes.tobytes().decode("latin-1")
-        ends = np.append(zeros[1:], len(codes) - 1)
-        own: list[set[int]] = [set() for _ in data]
-        for s, e, r in zip(zeros.tolist(), ends.tolist(), rows.tolist(), strict=True):
-            if e - s - 1 >= LEAST:
-                own[r].add(number.setdefault(raw[s + 1 : e], len(number)))
-        found += [np.array(sorted(x), np.int32) for x in own]
-        counts.append(np.bincount(rows, minlength=len(data)))
-    return list(number), found, np.concatenate(counts)
+def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[str]], np.ndarray]:
+    """The distinct folded words of LEAST letters or more of each text of a block, in order, and the texts' counts of words."""
+    codes, zeros, rows = folded(data, offsets)
+    raw = codes.tobytes().decode("latin-1")
+    ends = np.append(zeros[1:], len(codes) - 1)
+    own: list[set[str]] = [set() for _ in offsets[1:]]
+    for s, e, r in zip(zeros.tolist(), ends.tolist(), rows.tolist(), strict=True):
+        if e - s - 1 >= LEAST:
+            own[r].add(raw[s + 1 : e])
+    return [sorted(x) for x in own], np.bincount(rows, minlength=len(own))
+
+
+def _read(batches):
+    """Of each text, in a worker: its distinct words, joined by zeros, their number, and its number of words."""
+    for part, data, offsets in text_blocks(batches, "text"):
+        found, counts = _distinct(data, offsets)
+        get = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([get("hash"), get("toxic"), pa.array(["\0".join(x).encode("latin-1") for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(counts, pa.int64())], ["hash", "toxic", "words", "size", "n_words"])
 
 
 def _groups(word: str) -> np.ndarray:
@@ -196,11 +200,24 @@ def _groups(word: str) -> np.ndarray:
 
 def trained(samples: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict | None:
     """The model from (text, label) rows, or None where one label is missing."""
+    rows = []
+    for text, y in samples:
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        found, counts = _distinct(data, np.array([0, len(data)]))
+        rows.append(("\0".join(found[0]).encode("latin-1"), int(counts[0]), y))
+    return fitted(rows, landmarks)
+
+
+def fitted(samples: list[tuple[bytes, int, int]], landmarks: int = LANDMARKS, pool_size: int = POOL, hard_size: int = HARD) -> dict | None:
+    """The model from (distinct folded words joined by zeros, number of words, label) rows, or None where one label is missing."""
     samples = sorted(samples)
-    labels = np.array([y for _, y in samples])
+    labels = np.array([y for _, _, y in samples])
     if not 0 < labels.sum() < len(labels):
         return None
-    words, of_text, counts = _words([t for t, _ in samples])
+    number: dict[str, int] = {}
+    of_text = [np.array(sorted(number.setdefault(w, len(number)) for w in x.decode("latin-1").split("\0") if w), np.int32) for x, _, _ in samples]
+    words, counts = list(number), np.array([n for _, n, _ in samples])
+    del number
     toxic = [x for x, y in zip(of_text, labels, strict=True) if y == 1 and len(x)]
     clean = [x for x, y in zip(of_text, labels, strict=True) if y == 0]
     if not toxic:
@@ -219,7 +236,7 @@ def trained(samples: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict
     in_clean = np.zeros(len(words), bool)
     for x in clean:
         in_clean[x] = True
-    pool = sorted(np.flatnonzero(in_clean).tolist(), key=lambda w: hash_of(words[w]))[:8000]
+    pool = sorted(np.flatnonzero(in_clean).tolist(), key=lambda w: hash_of(words[w]))[:pool_size]
     codes = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("latin-1"), np.uint8)
     zeros = np.flatnonzero(codes == 0)[:-1]
     score = None
@@ -231,7 +248,7 @@ def trained(samples: list[tuple[str, int]], landmarks: int = LANDMARKS) -> dict
             for w in chosen.tolist() if len(chosen) else [max(x.tolist(), key=lambda w: (value[w], words[w]))]:
                 times[w] = times.get(w, 0) + 1
         pos = sorted(times, key=lambda w: words[w])
-        hard = [] if score is None else sorted(set(np.flatnonzero(in_clean).tolist()) - set(pos), key=lambda w: (-score[w], words[w]))[:4000]
+        hard = [] if score is None else sorted(set(np.flatnonzero(in_clean).tolist()) - set(pos), key=lambda w: (-score[w], words[w]))[:hard_size]
         neg = sorted({*hard, *(w for w in pool if w not in times)}, key=lambda w: words[w])
         chosen = sorted(pos, key=lambda w: (-times[w], words[w]))[: landmarks // 2]
         chosen = [words[w] for w in chosen + (hard or neg)[: landmarks - len(chosen)]]
@@ -277,19 +294,34 @@ def _score(model: dict | None):
     return run
 
 
-def sampled(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> list[tuple[str, int]]:
-    """At most rows different texts of each label, those of the lowest text hash, from docs (doc_id, text) and labels (doc_id, toxic).
+def sampled(docs: DataFrame, labels: DataFrame, rows: int = ROWS, words: int = WORDS) -> list[tuple[bytes, int, int]]:
+    """At most rows different texts of each label, those of the lowest text hash, from docs (doc_id, text) and labels (doc_id, toxic), as fitted() takes them.
 
     Only ids and hashes meet the labels, and copies fall together before the lowest of each label are
-    taken. The texts of the rows chosen (at most twice rows) are fetched by a broadcast of their ids.
+    taken. The texts of the rows chosen (at most twice rows) are fetched by a broadcast of their ids and
+    read whole in the workers; the driver gets the words of as many rows of a label, by hash, as have
+    words distinct words in all, and of the first always.
     """
-    keys = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).join(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic"), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    keys = docs.select("doc_id", F.xxhash64(text).alias("h")).join(labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
     texts = keys.groupBy(F.col("h").alias("hash"), "toxic").agg(F.min("doc_id").alias("id"))
     chosen = [texts.where(F.col("toxic") == y).orderBy("hash").limit(rows) for y in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
-    met = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hash")))
-    few = met.select("id", "toxic", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).distinct()
-    return [(r.text, int(r.toxic)) for r in few.collect()]
+    met = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.xxhash64(text) == F.col("hash")))
+    read = stored(met.select("hash", "toxic", "text").mapInArrow(_read, "hash long, toxic int, words binary, size long, n_words long"), "toxicity-words")
+    sizes = read.groupBy("hash", "toxic").agg(F.max("size").alias("size")).collect()
+    last = {}
+    for y in (0, 1):
+        total = 0
+        for k, r in enumerate(sorted((r for r in sizes if r.toxic == y), key=lambda r: r.hash)):
+            total += r.size
+            if k and total > words:
+                break
+            last[y] = r.hash
+    few = [read.where((F.col("toxic") == y) & (F.col("hash") <= h)) for y, h in last.items()]
+    found = [(bytes(r.words), r.n_words, r.toxic) for part in few for r in part.dropDuplicates(["hash", "toxic"]).collect()]
+    discard(read)
+    return found
 
 
 def scored(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -301,4 +333,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = remainder("doc_id", 5) == 0
-    return scored(docs.select("doc_id", out.alias("held_out"), "text"), trained(sampled(docs.where(~out).select("doc_id", "text"), labels)))
+    return scored(docs.select("doc_id", out.alias("held_out"), "text"), fitted(sampled(docs.where(~out).select("doc_id", "text"), labels)))

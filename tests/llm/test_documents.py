@@ -253,9 +253,21 @@ def test_toxicity(spark, odd, none):
 
 
 def test_toxicity_sample_is_of_different_texts(spark):
-    rows = [(i, "one and the same text") for i in range(50)] + [(100 + i, f"text of its own {i}") for i in range(20)]
+    rows = [(i, "one and the same text") for i in range(50)] + [(100 + i, "text of its own " + "ab" * (i + 2)) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, k % 2) for k in (0, 1) for i, _ in rows], "doc_id long, toxic int")
     for bound, found in ((21, 21), (10, 10)):
         got = toxicity.sampled(docs, labels, bound)
-        assert len(got) == len(set(got)) == 2 * found and {y for _, y in got} == {0, 1}
+        assert len(got) == len(set(got)) == 2 * found and {r[-1] for r in got} == {0, 1}
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    words = "table chair window garden river mountain letter number paper winter summer yellow".split()
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(words, k=4000)) + (f" wretchling {i}" if i % 2 else f" {i}") for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fitted(toxicity.sampled(docs, labels))
+    rows = docs.where("doc_id < 10").selectExpr("doc_id", "text", "false held_out")
+    assert {r.doc_id: r.predicted for r in toxicity.scored(rows, model).collect()} == {i: i % 2 for i in range(10)}
+    assert [len(toxicity.sampled(docs, labels, words=n)) for n in (0, 70)] == [2, 10]
