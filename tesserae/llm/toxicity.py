@@ -4,7 +4,9 @@ The kernel of two words counts their common subsequences of three characters, ea
 DECAY for every character skipped (spans of at most SPAN characters), and is normalised by the
 weights of all subsequences of either word. So a word with a letter put in, left out or swapped
 stays close to the word it comes from. Words are folded first: lower case, accents off, common
-digit and sign substitutes to letters, other signs dropped.
+digit and sign substitutes to letters, other signs dropped. Runs of successive words of at most GAPPED
+letters are also joined, each run and each JOIN or fewer successive words of it to one more word (as is
+each run of single letters), in training and scoring alike, so that a word gapped by blanks is met.
 
 Labels are of documents, insults are words: toxic training documents name their most telling word
 (at first by how often its letter groups occur in toxic and in clean documents, then by the machine
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import discard, remainder, stored, text_blocks
 
 ROWS, WORDS, POOL, HARD, LANDMARKS, DECAY, SPAN, ROUNDS, LEAST, FLOOR, TOP = 2000, 1 << 20, 8000, 4000, 256, 0.5, 4, 3, 3, -2.0, 2.0
+GAPPED, JOIN, CHUNK = 2, 8, 1 << 20
 OFFSETS = [(j, k) for k in range(2, SPAN + 1) for j in range(1, k)]
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _known: dict = {}
@@ -103,6 +106,41 @@ def margins(codes: np.ndarray, zeros: np.ndarray, table: np.ndarray, bias: float
     return np.where(ends - zeros - 1 >= LEAST, np.clip(out, FLOOR, TOP), FLOOR)
 
 
+def _runs(zeros: np.ndarray, size: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of words of 1 to most letters, and for each the end of its run of such words in one row."""
+    short = (size >= 1) & (size <= most)
+    follow = np.zeros(len(zeros), bool)
+    follow[1:] = short[1:] & short[:-1] & (rows[1:] == rows[:-1])
+    at = np.flatnonzero(short)
+    breaks = np.append(np.flatnonzero(~follow), len(zeros))
+    return at, breaks[np.searchsorted(breaks, at, "right")]
+
+
+def joined(codes: np.ndarray, zeros: np.ndarray, rows: np.ndarray):
+    """Codes, zeros and rows, in chunks, of the words of LEAST letters or more that runs of short words give when joined."""
+    size = np.append(zeros[1:], len(codes) - 1) - zeros - 1 if len(zeros) else np.zeros(0, int)
+    at, stop = _runs(zeros, size, rows, GAPPED)
+    heads = np.concatenate([[True], stop[1:] != stop[:-1]]) & (stop - at > JOIN) if len(at) else np.zeros(0, bool)
+    spans = [(at[at + k <= stop], at[at + k <= stop] + k) for k in range(2, JOIN + 1)] + [(at[heads], stop[heads])]
+    one, end = _runs(zeros, size, rows, 1)
+    heads = np.concatenate([[True], end[1:] != end[:-1]]) & (end - one > JOIN) if len(one) else np.zeros(0, bool)
+    spans.append((one[heads], end[heads]))
+    starts, ends = (np.concatenate([x[k] for x in spans]) for k in (0, 1))
+    letter = np.concatenate([[0], np.cumsum(size)])
+    keep = letter[ends] - letter[starts] >= LEAST
+    starts, ends = starts[keep], ends[keep]
+    letters, n = codes[codes > 0], letter[ends] - letter[starts] + 1
+    total = np.cumsum(n)
+    i = 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - n[i] + CHUNK, "right")))
+        first = total[i:j] - n[i:j] - (total[i] - n[i])
+        step = np.arange(int(n[i:j].sum())) - np.repeat(first, n[i:j])
+        out = np.where(step > 0, letters[np.repeat(letter[starts[i:j]], n[i:j]) + np.maximum(step - 1, 0)], 0).astype(np.uint8)
+        yield np.append(out, np.uint8(0)), first, rows[starts[i:j]]
+        i = j
+
+
 def vectors(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Triples and normalised weights of each (folded) word."""
     out = []
@@ -163,6 +201,11 @@ def features(codes, zeros, rows, n: int, table, bias) -> np.ndarray:
     count = np.bincount(rows, minlength=n)
     out[:, 3] = np.log1p(count)
     value = margins(codes, zeros, table, bias)
+    more = [(margins(c, z, table, bias), r) for c, z, r in joined(codes, zeros, rows)]
+    if more:
+        value, rows = np.concatenate([value, *(m[0] for m in more)]), np.concatenate([rows, *(m[1] for m in more)])
+        order = np.argsort(rows, kind="stable")
+        value, rows = value[order], rows[order]
     if len(value):
         heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         for k in range(3):
@@ -173,14 +216,15 @@ def features(codes, zeros, rows, n: int, table, bias) -> np.ndarray:
 
 
 def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[str]], np.ndarray]:
-    """The distinct folded words of LEAST letters or more of each text of a block, in order, and the texts' counts of words."""
+    """The distinct folded words of LEAST letters or more, joined ones too, of each text of a block, in order, and the texts' counts of words."""
     codes, zeros, rows = folded(data, offsets)
-    raw = codes.tobytes().decode("latin-1")
-    ends = np.append(zeros[1:], len(codes) - 1)
     own: list[set[str]] = [set() for _ in offsets[1:]]
-    for s, e, r in zip(zeros.tolist(), ends.tolist(), rows.tolist(), strict=True):
-        if e - s - 1 >= LEAST:
-            own[r].add(raw[s + 1 : e])
+    for c, z, at in ((codes, zeros, rows), *joined(codes, zeros, rows)):
+        raw = c.tobytes().decode("latin-1")
+        ends = np.append(z[1:], len(c) - 1)
+        for s, e, r in zip(z.tolist(), ends.tolist(), at.tolist(), strict=True):
+            if e - s - 1 >= LEAST:
+                own[r].add(raw[s + 1 : e])
     return [sorted(x) for x in own], np.bincount(rows, minlength=len(own))
 
 

@@ -271,3 +271,17 @@ def test_toxicity_learns_from_whole_texts(spark):
     rows = docs.where("doc_id < 10").selectExpr("doc_id", "text", "false held_out")
     assert {r.doc_id: r.predicted for r in toxicity.scored(rows, model).collect()} == {i: i % 2 for i in range(10)}
     assert [len(toxicity.sampled(docs, labels, words=n)) for n in (0, 70)] == [2, 10]
+
+
+def test_toxicity_joins_gapped_words(spark):
+    words = "table chair window garden river mountain to of is in a at letter number paper winter it summer by yellow".split()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(words, k=14)) for _ in range(200)]
+    model = toxicity.trained([(t, 0) for t in texts[:150]] + [(t + " " + rng.choice(["stupidhead", "wretchling", "stupidface"]), 1) for t in texts[150:]])
+    odd = ["garden is s t u p i d h e a d at river", "garden it is wr et ch li ng in winter", "a table is in it at a river by it", "st up id he ad", "a b", "x"]
+    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(odd)], "doc_id long, text string, held_out boolean")
+    assert [r.predicted for r in toxicity.scored(rows, model).orderBy("doc_id").collect()] == [1, 1, 0, 1, 0, 0]
+    data = "ab c dxyz ef g".encode()
+    found, counts = toxicity._distinct(__import__("numpy").frombuffer(data, "u1"), [0, 6, len(data)])
+    spell = lambda w: "".join(chr(96 + ord(c)) for c in w)
+    assert [[spell(w) for w in x] for x in found] == [["abc", "abcd"], ["efg", "xyz"]] and counts.tolist() == [3, 3]
