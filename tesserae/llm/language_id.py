@@ -9,9 +9,13 @@ Texts are folded: lower case, each run of other characters than letters is one b
 parsed in segments of SEGMENT folded characters, whole texts always; all segments of a block of
 documents step through an automaton's table together.
 
-The sample is bounded: ROWS rows of a language, those of the lowest text hash, CHARS characters of
-each. Where a language has fewer rows all are taken. Languages are few (their number times about
-60,000 characters must fit in memory).
+The sample is bounded: ROWS rows of different texts of a language, those of the lowest text hash, and
+CHARS characters in all, shared equally among them. Where a language has fewer texts all are taken.
+Texts longer than their share give windows of PIECE characters, spread evenly from their beginning to
+their end. Languages are few (their number times CHARS characters must fit in memory).
+
+Every letter of the samples has a code of its own: transitions of the CODES - 1 commonest lie in a
+dense table, those of the others in sorted arrays; letters of no sample match nothing.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; of equal languages
 the first by name wins; rows that repeat give equal results each; without any labelled row every
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import remainder, text_blocks
 
-ROWS, CHARS, SEGMENT, CODES = 96, 600, 512, 64
+ROWS, CHARS, PIECE, SEGMENT, CODES = 96, 57_600, 120, 512, 64
 _known: dict = {}
 
 
@@ -56,15 +60,17 @@ class Automata:
         every = np.concatenate([np.zeros(0, np.int64)] + [self._points("\n".join(samples[n])) for n in self.names])
         every = low[np.minimum(every, (1 << 17) - 1)][letter[np.minimum(every, (1 << 17) - 1)]]
         seen, count = np.unique(every, return_counts=True)
-        common = seen[np.argsort(-count, kind="stable")][: CODES - 2]
-        # 0: blank, 1..: the commonest letters; all others share the last code
-        self.code = np.where(letter, CODES - 1, 0).astype(np.uint8)
-        self.code[common] = np.arange(1, len(common) + 1, dtype=np.uint8)
-        self.code = np.where(letter, self.code[low], 0).astype(np.uint8)
+        letters = seen[np.argsort(-count, kind="stable")]
+        # 0: blank, 1..: the letters of the samples, the commonest first; all others share the last code
+        self.size = len(letters) + 2
+        kind = np.min_scalar_type(max(self.size, CODES) - 1)
+        self.code = np.full(len(letter), self.size - 1, kind)
+        self.code[letters] = np.arange(1, len(letters) + 1, dtype=kind)
+        self.code = np.where(letter, self.code[low], 0).astype(kind)
         self.tables, self.bits = [], []
         for n in self.names:
             codes = self.folded(self._points("\n".join(samples[n])))
-            self.tables.append(suffix_automaton(codes.tolist()))
+            self.tables.append(suffix_automaton(codes.tolist(), self.size))
             self.bits.append(np.log2(max(len(codes), 2)))
 
     @staticmethod
@@ -83,12 +89,19 @@ class Automata:
         starts, sizes = starts[order], sizes[order]
         out = np.zeros((len(self.names), len(starts)), np.int64)
         live = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")
-        for k, table in enumerate(self.tables):
-            root = np.maximum(table[:CODES], 0)
+        rare = self.size > CODES and len(codes) > 0 and codes.max() >= CODES - 1
+        for k, (table, keys, places, root) in enumerate(self.tables):
             state, count = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
             for t, n in enumerate(live):
                 c = codes[starts[:n] + t]
-                to = table[state[:n] * CODES + c]
+                if rare:
+                    to = table[state[:n] * CODES + np.minimum(c, CODES - 1)]
+                    if len(keys) and len(at := np.flatnonzero(c >= CODES - 1)):
+                        key = state[at].astype(np.int64) * self.size + c[at]
+                        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        to[at] = np.where(keys[place] == key, places[place], -1)
+                else:
+                    to = table[state[:n] * CODES + c]
                 miss = np.flatnonzero(to < 0)
                 count[miss] += 1
                 to[miss] = root[c[miss]]
@@ -97,18 +110,22 @@ class Automata:
         return out
 
 
-def suffix_automaton(codes: list[int]) -> np.ndarray:
-    """Transitions of the suffix automaton, flat: state * CODES + code; -1: none; state 0 is the root."""
-    step: list[list[int]] = [[-1] * CODES]
+def suffix_automaton(codes: list[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton; state 0 is the root.
+
+    A flat table, state * CODES + code, -1: none, of the codes under CODES - 1; sorted keys, state * size +
+    code, and states of the other ones; and, of each of the size codes, the root's transition or 0.
+    """
+    step: list[dict[int, int]] = [{}]
     length, link = [0], [-1]
     last = 0
     for c in codes:
         new = len(step)
-        step.append([-1] * CODES)
+        step.append({})
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and step[p][c] < 0:
+        while p >= 0 and c not in step[p]:
             step[p][c] = new
             p = link[p]
         if p >= 0:
@@ -117,15 +134,26 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
                 link[new] = q
             else:
                 twin = len(step)
-                step.append(step[q][:])
+                step.append(dict(step[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and step[p][c] == q:
+                while p >= 0 and step[p].get(c) == q:
                     step[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return np.array(step, np.int32).ravel()
+    count = sum(map(len, step))
+    at = np.repeat(np.arange(len(step), dtype=np.int64), np.fromiter(map(len, step), np.int64, len(step)))
+    code = np.fromiter((c for x in step for c in x), np.int64, count)
+    to = np.fromiter((t for x in step for t in x.values()), np.int32, count)
+    table = np.full(len(step) * CODES, -1, np.int32)
+    common = code < CODES - 1
+    table[at[common] * CODES + code[common]] = to[common]
+    keys, places = at[~common] * size + code[~common], to[~common]
+    order = np.argsort(keys)
+    root = np.zeros(max(size, CODES), np.int32)
+    root[list(step[0])] = list(step[0].values())
+    return table, keys[order], places[order], root
 
 
 def _predict(samples: dict[str, list[str]]):
@@ -173,12 +201,21 @@ def _predict(samples: dict[str, list[str]]):
 
 
 def sampled(labelled: DataFrame, rows: int = ROWS, chars: int = CHARS) -> dict[str, list[str]]:
-    """A bounded sample of the rows (lang, text): rows of each language by lowest text hash."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    few = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, chars).alias("text"), F.row_number().over(order).alias("k")).where(F.col("k") <= rows)
+    """A bounded sample of the rows (lang, text): different texts of each language by lowest text hash, or windows spread over them.
+
+    Copies fall together by their hashes, before the limit; the texts are fetched by a broadcast of the hashes chosen.
+    """
+    some = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    hashes = some.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    few = hashes.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("k") <= rows)
+    few = few.withColumn("share", F.floor(F.lit(chars) / F.count("*").over(Window.partitionBy("lang"))).cast("int")).withColumnRenamed("lang", "of")
+    met = some.join(F.broadcast(few), (F.col("lang") == F.col("of")) & (F.xxhash64("text") == F.col("hash")))
+    n, pieces = F.length("text"), F.greatest(F.expr(f"share div {PIECE}").cast("int"), F.lit(2))
+    spread = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.col("text").substr((F.floor(i.cast("long") * (n - PIECE) / (pieces - 1)) + 1).cast("int"), F.lit(PIECE)))
+    found = met.select("lang", "k", F.when(n <= F.greatest("share", F.lit(2 * PIECE)), F.array("text")).otherwise(spread).alias("pieces")).dropDuplicates(["lang", "k"])
     out: dict[str, list[str]] = {}
-    for r in sorted(few.collect(), key=lambda r: (r.lang, r.k)):
-        out.setdefault(r.lang, []).append(r.text)
+    for r in sorted(found.collect(), key=lambda r: (r.lang, r.k)):
+        out.setdefault(r.lang, []).extend(r.pieces)
     return out
 
 

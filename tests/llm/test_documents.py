@@ -285,3 +285,38 @@ def test_toxicity_joins_gapped_words(spark):
     found, counts = toxicity._distinct(__import__("numpy").frombuffer(data, "u1"), [0, 6, len(data)])
     spell = lambda w: "".join(chr(96 + ord(c)) for c in w)
     assert [[spell(w) for w in x] for x in found] == [["abc", "abcd"], ["efg", "xyz"]] and counts.tolist() == [3, 3]
+
+
+def test_language_sample_is_of_different_texts_and_spread(spark):
+    header = "gemeinsame kopfzeile aller texte " * 20
+    texts = [header + f"ende{chr(97 + i)}" for i in range(8)]
+    docs = spark.createDataFrame([("de", texts[0])] * 200 + [("de", t) for t in texts] + [("fr", "court")] + [(None, "x"), ("fr", None)], "lang string, text string")
+    whole = language_id.sampled(docs, 5)
+    assert len(whole["de"]) == len(set(whole["de"])) == 5 and set(whole["de"]) <= set(texts) and whole["fr"] == ["court"]
+    spread = language_id.sampled(docs, 8, 8 * 360)["de"]
+    assert len(spread) == 24 and all(len(x) == 120 for x in spread) and {x[-5:] for x in spread[2::3]} == {t[-5:] for t in texts}
+
+
+def test_every_letter_of_the_samples_has_its_own_code():
+    import numpy as np
+
+    letters = [chr(0x4E00 + i) for i in range(400)]
+    rng = random.Random(5)
+    text = "".join(rng.choice(letters) for _ in range(600))
+    samples = {"a": [text], "b": [text[::-1]]}
+    model = language_id.Automata(samples)
+    assert len({int(model.code[ord(c)]) for c in text}) == len(set(text)) > language_id.CODES
+    for part in (text[100:300], text[300:100:-1], "".join(rng.choice(letters) for _ in range(200)) + "xyz"):
+        codes = model.folded(model._points(part))
+        got = model.phrases(codes, np.array([0]), np.array([len(codes)]))[:, 0].tolist()
+        plain = []
+        for name in model.names:
+            at, n = 0, 0
+            while at < len(part):
+                size = 1
+                while at + size <= len(part) and part[at : at + size] in samples[name][0]:
+                    size += 1
+                at += max(size - 1, 1)
+                n += 1
+            plain.append(n)
+        assert all(abs(g - n) <= 1 + sum(c not in text for c in part) for g, n in zip(got, plain, strict=True))
