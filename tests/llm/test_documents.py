@@ -320,3 +320,28 @@ def test_every_letter_of_the_samples_has_its_own_code():
                 n += 1
             plain.append(n)
         assert all(abs(g - n) <= 1 + sum(c not in text for c in part) for g, n in zip(got, plain, strict=True))
+
+
+def test_decontamination_of_numbers_names_of_more_words_and_long_runs(spark):
+    rng = random.Random(6)
+    own = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") + str(i) for i in range(60)).translate(str.maketrans("0123456789", "qrstuvwxyz")) for _ in range(2)]
+    items = [
+        (1, "Compute 48 / 2 + 17 * 3 - 9 and 55 - 12"),
+        (2, "if Alice buys 12 apples and Bob sells 30 pears, how many apples will Alice hold when Bob has gone home with 30 pears?"),
+        (3, own[0]),
+        (4, "what is 48 2 17"),
+    ]
+    texts = [
+        "Task: compute 48 / 2 + 17 * 3 - 9 and 55 - 12 now",
+        "if Mary Ann buys twenty five apples and Jean Paul Smith sells one hundred ten pears, how many apples will Mary Ann hold when Jean Paul Smith has gone home with one hundred ten pears?",
+        f"before {' '.join(own[0].split()[20:33])} after",
+        f"before {' '.join(own[0].split()[20:32])} after",
+        "Compute 50 / 3 + 18 * 4 - 8 and 54 - 13",
+        "tell me what is 99 of it",
+        "well, what is 48 2 17 then",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    for bound in (1 << 21, 0):
+        got = {r.doc_id: r.item_ids for r in decontaminate.checked(docs, frame, bound).collect()}
+        assert got == {0: [1], 1: [2], 2: [3], 3: [], 4: [], 5: [], 6: [4]}
