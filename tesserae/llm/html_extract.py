@@ -4,7 +4,9 @@ A page is cut into its text blocks, in page order. The features of a block are i
 and its link density, those of the block before and after it, whether it is a heading, and the
 region it lies in (an article, furniture of the page, or neither; told from element names and
 class, id and role words). A decision tree, grown on the small labelled table BLOCKS, keeps or
-drops it.
+drops it. Furniture told from words or from a form gives way to an article or main element inside it
+(after the first article of the page only to main, as comments and related articles follow then), a
+form to words of an article as well; and an article word of its own on the same element wins.
 
 Defined results: a null or empty html gives the empty text; elements that are never closed end
 with their page; character references are decoded once; white space inside a block becomes one
@@ -22,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Element names of HTML, by what they do to text.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "select", "textarea", "button")
+HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "head", "select", "textarea", "button")
+#: Tags that leave a head open; any other one, or text, ends it, as its end tag may be left out.
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes script style template title noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -36,13 +40,16 @@ FURNITURE_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article articlebody body content entry main maincontent post postcontent story text".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(" + "|".join(HIDDEN[:-3]) + r")\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(" + "|".join(HIDDEN[:-4]) + r")\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
     re.S | re.I,
 )
 NAMES = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-NEITHER, IN_ARTICLE, IN_FURNITURE = 0, 1, 2
+#: Words before a furniture word that say something of the page only ("no-sidebar").
+ABOUT = frozenset("no not has have with without hide".split())
+#: The last two are furniture by words or by a form alone; blocks count them as IN_FURNITURE.
+NEITHER, IN_ARTICLE, IN_FURNITURE, IN_WORDS, IN_FORM = 0, 1, 2, 3, 4
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "region", "heading")
 
 #: The labelled table. words, link density %, the same of the block before and after, region, heading; 1: main text.
@@ -166,16 +173,32 @@ def kept(tree: tuple | float, row: tuple) -> bool:
     return tree >= 0.5
 
 
-def _region(name: str, attributes: str, region: int) -> int:
-    """The region inside an element, from its name, attributes and the region around it."""
+def _words(element: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes have a word of furniture (other than the element's name), one of an article, and one of an article in a name without one of furniture."""
+    furniture = article = own = False
+    for m in NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in WORDS.findall(name)]
+            bad = any(w in FURNITURE_WORDS and w != element and (i == 0 or words[i - 1] not in ABOUT) for i, w in enumerate(words))
+            good = not ARTICLE_WORDS.isdisjoint(words)
+            furniture, article = furniture or bad, article or good
+            own = own or good and not bad and m[0][:4].lower() != "aria"
+    return furniture, article, own
+
+
+def _region(name: str, attributes: str, region: int, seen: bool = False) -> int:
+    """The region inside an element, from its name, attributes, the region around it, and whether the page had an article."""
     if region == IN_FURNITURE:
         return region
-    words = {w.lower() for m in NAMES.findall(attributes) for w in WORDS.findall("".join(m))} if attributes else set()
-    if words & FURNITURE_WORDS and name not in ("html", "body", "main") and not (name in ARTICLE and words & ARTICLE_WORDS):
-        return IN_FURNITURE
+    furniture, article, own = _words(name, attributes) if attributes else (False, False, False)
+    soft = region in (IN_WORDS, IN_FORM)
+    if furniture and name not in ("html", "body", "main") and not own and not (name in ARTICLE and article):
+        return IN_FURNITURE if name in FURNITURE and name != "form" else IN_WORDS
     if name in FURNITURE and not (name in ("header", "address") and region == IN_ARTICLE):
-        return IN_FURNITURE
-    if name in ARTICLE or (words & ARTICLE_WORDS and name != "body"):
+        return IN_FURNITURE if name != "form" else region if soft else IN_FORM
+    if name in ARTICLE:
+        return region if region == IN_WORDS and seen and name != "main" else IN_ARTICLE
+    if article and name != "body" and region != IN_WORDS:
         return IN_ARTICLE
     return region
 
@@ -184,7 +207,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """(text, words, link density, region, heading) of the text blocks, in page order."""
     out: list[tuple[str, int, float, int, int]] = []
     stack: list[tuple[str, int]] = []
-    region, links, heading, hidden = NEITHER, 0, 0, 0
+    region, links, heading, hidden, seen = NEITHER, 0, 0, 0, False
     parts: list[str] = []
     linked: list[str] = []
 
@@ -193,13 +216,16 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             words = html.unescape("".join(parts)).split()
             if words:
                 n = len(html.unescape("".join(linked)).split())
-                out.append((" ".join(words), len(words), min(1.0, n / len(words)), region, heading))
+                out.append((" ".join(words), len(words), min(1.0, n / len(words)), min(region, IN_FURNITURE), heading))
             parts.clear()
             linked.clear()
 
     for m in TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
+            if hidden and stack[-1][0] == "head" and not token.isspace():
+                region = stack.pop()[1]
+                hidden = 0
             if not hidden:
                 parts.append(token)
                 if links:
@@ -208,6 +234,9 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
+        if stack and stack[-1][0] == "head" and not (m[2] or m[5]) and name not in HEAD_TAGS:
+            region = stack.pop()[1]
+            hidden = sum(1 for x in stack if x[0] in HIDDEN)
         if m[2] or m[5]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if at < 0:
@@ -240,7 +269,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
                             break
             if not (m[4] or m[7] or "").rstrip().endswith("/"):
                 stack.append((name, region))
-                region = _region(name, m[4] or m[7] or "", region)
+                region = _region(name, m[4] or m[7] or "", region, seen)
+                seen = seen or region == IN_ARTICLE
         links = sum(1 for x in stack if x[0] == "a")
         heading = int(any(x[0] in HEADING for x in stack))
         hidden = sum(1 for x in stack if x[0] in HIDDEN)

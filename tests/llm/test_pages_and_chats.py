@@ -71,3 +71,23 @@ def test_collapse_against_all_pairs(spark, seed):
     got = {r.conv_id for r in chat_format.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     expected = {c for c, t in chats.items() if not any(len(o) > len(t) and o[: len(t)] == t or o == t and d < c for d, o in chats.items())}
     assert got == expected
+
+
+def test_open_heads_and_furniture_words_around_articles():
+    tree = html_extract.default_tree()
+    text = " ".join(f"word{i} of the article that must be kept whole here" for i in range(6))
+    p = f"<p>{text}</p>"
+    for page in (
+        f"<html><head><title>T</title><meta charset=utf-8><body><article>{p}</article>",
+        f"<head><link rel=x><script>var a;</script><div class=content>{p}</div>",
+        f"<head><title>T</title><a name=top></a>{p}",
+        f"<head><title>T</title></head><body><div class='content no-sidebar'>{p}</div>",
+        f"<body><div id='page' class='site has-sidebar'><article>{p}</article></div>",
+        f"<body><div class='site sidebar'><main>{p}</main></div>",
+        f"<body><form id='aspnetForm' action='x'><div id='content'>{p}</div></form>",
+        f"<body><form action='x'><article>{p}</article></form>",
+    ):
+        assert html_extract.main_text(page, tree) == text, page
+    rest = f"<div class='comments'><article>{p}</article></div><div class='comment-body'>{p}</div><nav><article>{p}</article></nav>"
+    assert html_extract.main_text(f"<body><article>{p}</article>{rest}</body>", tree) == text
+    assert html_extract.main_text("<head><title>only</title><meta name=a>", tree) == ""
