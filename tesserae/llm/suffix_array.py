@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
 
 def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
     """Group of each position, and the groups in ascending order with the lengths of their Lyndon prefixes by group."""
@@ -133,13 +135,13 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     return out
 
 
-def neighbour_matches(text: Sequence[int], order: list[int]) -> list[int]:
-    """For each position of text, the longest match (in symbols) of its suffix with a neighbour in the suffix array."""
+def common_prefixes(text: Sequence[int], order: list[int]) -> list[int]:
+    """For each place of the suffix array, the symbols that its suffix shares with the one before (the first: 0)."""
     n = len(text)
     rank = [0] * n
     for k, i in enumerate(order):
         rank[i] = k
-    best = [0] * n
+    out = [0] * n
     h = 0
     for i in range(n):
         k = rank[i]
@@ -148,12 +150,32 @@ def neighbour_matches(text: Sequence[int], order: list[int]) -> list[int]:
             m = n - (i if i > j else j)
             while h < m and text[i + h] == text[j + h]:
                 h += 1
-            if h > best[i]:
-                best[i] = h
-            if h > best[j]:
-                best[j] = h
+            out[k] = h
             if h:
                 h -= 1
         else:
             h = 0
-    return best
+    return out
+
+
+class Intervals:
+    """Intervals of a suffix array whose suffixes share a number of first symbols."""
+
+    def __init__(self, text: Sequence[int]):
+        order = suffix_array(text)
+        self.rank = np.empty(len(text), np.int64)
+        self.rank[order] = np.arange(len(text))
+        self.levels = [np.array(common_prefixes(text, order), np.int32)]  # least value of 2^b places, by the last of them
+        while 2 << (len(self.levels) - 1) <= len(text):
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            level = np.zeros_like(last)
+            level[half:] = np.minimum(last[half:], last[:-half])
+            self.levels.append(level)
+
+    def of(self, starts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For suffixes by their starts: the first place of the interval that shares that many symbols (one at least), and whether others are in it."""
+        at = self.rank[starts]
+        for b in reversed(range(len(self.levels))):
+            at = at - ((self.levels[b][at] >= symbols).astype(np.int64) << b)
+        after = np.minimum(at + 1, len(self.rank) - 1)
+        return at, (after > at) & (self.levels[0][after] >= symbols)

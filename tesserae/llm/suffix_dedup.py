@@ -1,19 +1,22 @@
 """Removal of repeated byte strings with suffix arrays.
 
 Every byte of a string of LENGTH bytes that starts anywhere else too (in any text, the same one
-included) is removed; matches never cross texts.
+included) is removed; matches never cross texts. Shorter repeats can be reported beside it.
 1. Each window of LENGTH bytes has a least hash among its K-byte strings; successive windows with
    the same one form a stretch. Equal windows have equal least hashes, so they meet in one bucket.
-2. Equal stretches are counted before they move. A stretch that occurs twice repeats in all its
-   windows; a bucket with one stretch only, in which the least hash stands once, has no repeat.
-3. The texts of the other stretches of a bucket are cut into short phrases at places told from the
-   bytes around them. Suffix arrays of the phrases, built by linear grouping (suffix_array.py),
-   give each stretch's longest match elsewhere. Those with a match of the length that any common
-   window must have go on to an exact count of their windows; the others hold no repeat.
+2. Equal stretches are collapsed before they move: two places of each go on (one place, twice, where
+   all are in copies of one text), and what is found for them holds for all places. A bucket of one
+   stretch at one place, in which the least hash stands once, has no repeat.
+3. The bytes of a bucket's stretches are cut into short phrases at places told by the window alone.
+   The suffix array of the phrases, built by linear grouping (suffix_array.py), gives the intervals
+   of places that share all phrases of a window; windows of one interval whose bytes before the
+   first phrase and after the last one agree are equal, and those that have an equal are repeats.
 Buckets of more than BLOCK different stretches are dealt to pairs of blocks, so that no task holds
 more than two blocks of a bucket.
 
-Windows and stretches are compared by 64-bit hashes.
+A window is a repeat only where its bytes were compared with another window's; equal stretches are
+taken as equal by 64-bit hashes of them and of their least K-byte string. The texts of PIECE bytes and
+more are read in overlapping pieces, so that working memory does not follow the longest text.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; of rows that repeat
 all bytes go (if they are long enough); bytes that are left are joined as they are, and where that
@@ -30,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lists, long_view, mixed, powers, span_hashes, stored, text_blocks
+from .common import discard, long_view, mixed, powers, span_hashes, stored, text_blocks
 from .jaccard_join import _groups
-from .suffix_array import neighbour_matches, suffix_array
-
-LENGTH, K, BLOCK = 400, 24, 2048
-#: Symbols that one suffix array holds about at most (more only for one bucket or pair of blocks).
-SYMBOLS = 200_000
+from .suffix_array import Intervals
+
+#: A passage of just over 50 words takes about this many bytes; the shorter repeats that the query reports.
+SHORT = 250
+LENGTH, BLOCK, PIECE = 400, 2048, 1 << 22
+#: Phrases are cut at the least of SPAN successive hashes of GRAM bytes.
+SPAN, GRAM = 32, 8
+#: Bytes of stretches that one suffix array holds about at most (more only for one bucket or pair of blocks).
+HELD = 3_200_000
 STRETCHES = "array<struct<mini: bigint, content: bigint, start: int, n: int, again: boolean>>"
 
 
@@ -59,13 +66,18 @@ def _rolling(data: np.ndarray, k: int) -> np.ndarray:
     return mixed((prefix[k:] - prefix[:-k]) * down[: len(data) - k + 1])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
-    """Row, start (in data), number of windows, least hash, content hash, and whether the least hash occurs again, of each stretch."""
+def stretches(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]):
+    """Row, start (in data), number of windows, least hash, content hash, and whether the least hash occurs again, of each stretch.
+
+    Windows have the least length; a content goes on to the end of a window of the greatest that starts in the stretch.
+    """
+    length = lengths[0]
+    k = length // 5
     if len(data) < length:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64), z > 0
-    places = _rolling(data, K)
-    least = sliding_least(places, length - K + 1)
+    places = _rolling(data, k)
+    least = sliding_least(places, length - k + 1)
     n = len(least)
     inside = np.zeros(n + 1, np.int32)  # windows that lie in one row
     last = np.minimum(offsets[1:] - length + 1, n)
@@ -79,13 +91,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     new[heads] = True
     starts = np.flatnonzero(new)
     count = np.bincount(np.cumsum(new)[ok] - 1, minlength=len(starts))
-    content = span_hashes(data, starts, starts + count - 1 + length)
-    chosen = least_places(places, least, length - K + 1)
-    first, end = np.searchsorted(chosen, starts), np.searchsorted(chosen, starts + count + length - K)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    content = span_hashes(data, starts, np.minimum(starts + count - 1 + lengths[-1], offsets[row + 1]))
+    chosen = least_places(places, least, length - k + 1)
+    first, end = np.searchsorted(chosen, starts), np.searchsorted(chosen, starts + count + length - k)
     of = np.repeat(np.arange(len(starts)), end - first)
     at = np.arange(len(of)) - np.repeat(np.cumsum(end - first) - (end - first), end - first) + first[of]
     again = np.bincount(of[places[chosen[at]] == least[starts[of]]], minlength=len(starts)) > 1
-    return np.searchsorted(offsets, starts, "right") - 1, starts, count, least[starts], content, again
+    return row, starts, count, least[starts], content, again
 
 
 def least_places(places: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
@@ -95,13 +108,26 @@ def least_places(places: np.ndarray, least: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(~sliding_least(~full, w)[: len(places)] == places)
 
 
-def _found(length: int):
+def _found(lengths: tuple[int, ...], piece: int):
     kind = pa.struct([("mini", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
+    more = lengths[-1] - 1
 
-    def run(batches):
+    def pieces(batches):
+        """Parts of a block, their bytes and offsets, the place of the first byte in its text, and the windows that count."""
         for part, data, offsets in text_blocks(batches, "text"):
-            row, start, n, mini, content, again = stretches(data, offsets, length)
-            value = pa.StructArray.from_arrays([pa.array(long_view(mini)), pa.array(long_view(content)), pa.array(start - offsets[row], pa.int32()), pa.array(n, pa.int32()), pa.array(again)], fields=list(kind))
+            if part.num_rows > 1 or len(data) <= piece:
+                yield part, data, offsets, 0, len(data)
+                continue
+            for at in range(0, max(len(data) - lengths[0] + 1, 1), piece):
+                some = data[at : at + piece + more]
+                yield part, some, np.array([0, len(some)]), at, piece
+
+    def run(batches):
+        for part, data, offsets, at, most in pieces(batches):
+            row, start, n, mini, content, again = stretches(data, offsets, lengths)
+            keep = start < most  # of a piece: a stretch may pass its end, and the next piece starts within
+            row, start, n, mini, content, again = (x[keep] for x in (row, start, np.minimum(n, most - start), mini, content, again))
+            value = pa.StructArray.from_arrays([pa.array(long_view(mini)), pa.array(long_view(content)), pa.array(start - offsets[row] + at, pa.int32()), pa.array(n, pa.int32()), pa.array(again)], fields=list(kind))
             heads = np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)
             get = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([get("doc_id"), get("text_key"), pa.ListArray.from_arrays(pa.array(heads), value)], ["doc_id", "text_key", "found"])
@@ -109,100 +135,135 @@ def _found(length: int):
     return run
 
 
-def _cut_out(length: int):
+def _cut_out(longest: int):
+    names = ("mini", "kinds", "content", "start", "n", "copies", "body")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+
     def run(batches):
         for part, data, offsets in text_blocks(batches, "text", 1 << 22):
             wanted = part.column(part.schema.get_field_index("wanted")).to_pylist()
             ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
-            out: dict[str, list] = {c: [] for c in ("mini", "kinds", "content", "single", "text_key", "start", "n", "body")}
+            out: list[list] = [[] for _ in names]
             for i, row in enumerate(wanted):
                 if row[0]["doc_id"] != ids[i]:  # a copy of the text that is read already
                     continue
-                body = data[offsets[i] : offsets[i + 1]].tobytes()
                 for x in row:
-                    out["body"].append(body[x["start"] : x["start"] + x["n"] - 1 + length])
-                    for c in ("mini", "kinds", "content", "single", "text_key", "start", "n"):
-                        out[c].append(x[c])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+                    first = offsets[i] + x["start"]
+                    body = data[first : min(first + x["n"] - 1 + longest, offsets[i + 1])].tobytes()
+                    for to, value in zip(out, (x["mini"], x["kinds"], x["content"], x["start"], x["n"], x["copies"], body), strict=True):
+                        to.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], list(names))
 
     return run
 
 
-def phrases(data: np.ndarray, bounds: np.ndarray, span: int, k: int = 8):
-    """Starts of the phrases of the strings data[bounds[i]:bounds[i+1]]: places of the least k-byte hash of span successive ones."""
-    starts = bounds[:-1]
-    if len(data) >= span + k:
-        h = _rolling(data, k)
-        starts = np.union1d(starts, least_places(h, sliding_least(h, span), span))
-    return starts
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    full = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        out |= full[i : i + len(data)].astype(np.uint64) << np.uint64(8 * i)
+    return out
+
 
+def repeats(bodies: list[bytes], counts: list[int], groups: list[int], length: int | tuple[int, ...]) -> list[tuple[int, int, int, int]]:
+    """Runs of repeated windows: (body, number of the length, start in the body, number of windows).
 
-def matched(bodies: list[bytes], length: int) -> np.ndarray:
-    """Whether each string may share a window of length bytes with another place, by a suffix array of phrases."""
+    The windows that start at the first counts[i] places of body i count; two are compared if their
+    bodies' groups are the same.
+    """
+    lengths = (length,) if isinstance(length, int) else length
     data = np.frombuffer(b"".join(bodies), np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-    span = max(length // 12, 4)
-    starts = phrases(data, bounds, span)
-    ends = np.append(starts[1:], len(data))
-    ids = np.unique(span_hashes(data, starts, ends), return_inverse=True)[1]
-    of = np.searchsorted(bounds, starts, "right") - 1
-    # strings end with separators of their own, so that no match crosses them
-    text = np.insert(ids + len(bodies), np.flatnonzero(np.diff(of)) + 1, np.arange(len(bodies) - 1))
-    sizes = np.insert(ends - starts, np.flatnonzero(np.diff(of)) + 1, 0)
-    symbols = text.tolist()
-    best = np.array(neighbour_matches(symbols, suffix_array(symbols)), np.int64)
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.arange(len(text))
-    reach = total[at + best] - total[at]
-    owner = np.insert(of, np.flatnonzero(np.diff(of)) + 1, of[np.flatnonzero(np.diff(of))])
-    out = np.zeros(len(bodies), bool)
-    out[owner[reach >= length - 4 * span - 8]] = True
+    # the place of the least hash of SPAN successive ones, of equal ones the first: it moves on with the places
+    span = min(SPAN, lengths[0] // 4)
+    gram = min(GRAM, lengths[0] - 2 * span)
+    low = np.uint64((1 << 24) - 1)
+    if len(data) > low:
+        raise ValueError("too many bytes for one suffix array")
+    where = (sliding_least((_rolling(data, gram) & ~low) | np.arange(len(data) - gram + 1, dtype=np.uint64), span) & low).astype(np.int64)
+    per = np.maximum(np.diff(bounds) - span - gram + 2, 0)  # places of each body whose hashes all lie in it
+    of = np.repeat(np.arange(len(bodies)), per)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per) + bounds[of]
+    cut = where[at]
+    new = np.ones(len(cut), bool)
+    new[1:] = (cut[1:] != cut[:-1]) | (of[1:] != of[:-1])
+    number = np.zeros(len(data), np.int64)  # of the first cut at or after each place
+    number[at] = np.cumsum(new) - 1
+    cuts, owner = cut[new], of[new]
+    # a symbol for each phrase, by its bytes; the last cut of a body has a symbol of its own, so that no match crosses bodies
+    end = np.append(owner[1:] != owner[:-1], True)
+    ids: dict[bytes, int] = {}
+    joined = data.tobytes()
+    serial = len(cuts)
+    text = [serial + i if e else ids.setdefault(joined[a:b], len(ids)) for i, (a, b, e) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), 0], end.tolist(), strict=True))]
+    shared = Intervals(text)
+    eight = _words(data)
+    group = np.asarray(groups, np.int64)
+    out = []
+    for which, size in enumerate(lengths):
+        n = np.minimum(np.asarray(counts, np.int64), np.maximum(np.diff(bounds) - size + 1, 0))
+        of = np.repeat(np.arange(len(bodies)), n)
+        if not len(of):
+            continue
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + bounds[of]
+        first, last = number[at], number[at + size - span - gram + 1]
+        new = np.ones(len(at), bool)
+        new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1])
+        interval, others = shared.of(first[new], last[new] - first[new])
+        back = np.cumsum(new) - 1
+        keep = np.flatnonzero(others[back])
+        if not len(keep):
+            continue
+        of, at, back = of[keep], at[keep], back[keep]
+        pieces = [group[of], interval[back], (last - first)[keep], cuts[first[keep]] - at]
+        pieces += [eight[at + i] for i in range(0, span, 8)] + [eight[at + size - 8 - i] for i in range(0, span + gram, 8)]
+        key = np.zeros(len(at), np.uint64)
+        for p in pieces:
+            key = mixed(key * np.uint64(3) + p.astype(np.uint64))
+        order = np.argsort(key, kind="stable")
+        same = np.ones(len(order) - 1, bool)
+        for p in pieces:
+            p = p[order]
+            same &= p[1:] == p[:-1]
+        twice = np.zeros(len(at), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        of, at = of[twice], at[twice]
+        head = np.ones(len(at), bool)
+        head[1:] = (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])
+        heads = np.flatnonzero(head)
+        ends = np.append(heads[1:], len(at))
+        out += zip(of[heads].tolist(), [which] * len(heads), (at[heads] - bounds[of[heads]]).tolist(), (ends - heads).tolist(), strict=True)
     return out
 
 
-def _repeated(length: int):
-    """Rows (mini, low, high, side, single, text_key, start, n, body) to the repeated windows (text_key, start, n) of single stretches."""
-
-    def settle(rows: list[tuple]) -> list[tuple[int, int, int]]:
-        may = matched([r[-1] for r in rows], length)
-        rows = [r for r, m in zip(rows, may, strict=True) if m]
-        if not rows:
-            return []
-        bodies = [r[-1] for r in rows]
-        data = np.frombuffer(b"".join(bodies), np.uint8)
-        bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-        bucket = np.array([r[0] for r in rows], np.uint64)  # a number for each bucket or pair of blocks
-        of = np.repeat(np.arange(len(rows)), np.diff(bounds) - length + 1)
-        at = np.concatenate([np.arange(b, e - length + 1) for b, e in zip(bounds, bounds[1:], strict=False)])
-        h = mixed(_rolling(data, length)[at] + mixed(bucket)[of])
-        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        twice = count[back] > 1
-        edge = np.ones(len(at), bool)
-        edge[1:] = (twice[1:] != twice[:-1]) | (of[1:] != of[:-1])
-        heads = np.flatnonzero(edge)
-        ends = np.append(heads[1:], len(at))
-        return [(rows[of[s]][2], int(rows[of[s]][3] + at[s] - bounds[of[s]]), int(e - s)) for s, e in zip(heads, ends, strict=True) if twice[s] and rows[of[s]][1]]
+def _repeated(lengths: tuple[int, ...]):
+    """Rows (mini, low, high, content, n, copies, body) to the repeated windows (mini, content, n, which length, start, number) of the contents."""
+    names = ["mini", "content", "n", "which", "first", "windows"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
-    def batch(out):
-        cols = list(zip(*out, strict=True)) if out else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["text_key", "start", "n"])
+    def settled(rows: list[tuple]) -> pa.RecordBatch:
+        found = repeats([r[4] for r in rows], [r[3] for r in rows], [r[0] for r in rows], lengths)
+        out = list({(*rows[i][1:4], *x) for i, *x in found})
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names)
 
     def run(batches):
         held: list[tuple] = []
         size = serial = 0
         for t, heads in _groups(batches, ["mini", "low", "high"]):
-            cols = [t[c].to_pylist() for c in ("mini", "single", "text_key", "start", "body")]
-            for s, e in zip(heads, heads[1:], strict=False):
-                group = [(serial, *r) for r in zip(*(c[s:e] for c in cols[1:]), strict=True)]
-                serial += 1
-                held += group
-                size += sum(len(r[-1]) for r in group)
-                if size > SYMBOLS * 16:
-                    yield batch(settle(held))
+            cols = [t[c].to_pylist() for c in ("mini", "content", "n", "body", "copies")]
+            for s, e in zip(heads.tolist(), heads[1:].tolist(), strict=False):
+                more = [(serial, *r[:4]) for r in zip(*(c[s:e] for c in cols), strict=True) for _ in range(r[4])]
+                length = sum(len(r[4]) for r in more)
+                if held and size + length > HELD:
+                    yield settled(held)
                     held, size = [], 0
+                held += more
+                size += length
+                serial += 1
         if held:
-            yield batch(settle(held))
+            yield settled(held)
 
     return run
 
@@ -211,35 +272,34 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("lang", "source") if c in docs.columns], F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
 
 
-def spans(rows: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """(text_key, spans array<struct<start, n>>): the windows of each text that start elsewhere too, as runs of start places.
+def spans(rows: DataFrame, lengths: tuple[int, ...], block: int = BLOCK, piece: int = PIECE) -> DataFrame:
+    """(text_key, spans array<struct<which, start, n>>): the windows of each length in a text that start elsewhere too, as runs of start places.
 
     rows: keyed(docs). Its columns all go through the join that fetches texts, so that the shuffle is
     the same as that of deduplicated() and is run once.
     """
-    found = rows.select("doc_id", "text_key", "text").mapInArrow(_found(length), f"doc_id long, text_key long, found {STRETCHES}").select("doc_id", "text_key", F.inline("found"))
+    found = rows.select("doc_id", "text_key", "text").mapInArrow(_found(lengths, piece), f"doc_id long, text_key long, found {STRETCHES}").select("doc_id", "text_key", F.inline("found"))
     texts = stored(found.groupBy("mini", "content", "n", "text_key", "start").agg(F.count("*").alias("count"), F.min("doc_id").alias("doc_id"), F.bool_or("again").alias("again")), "stretches")
-    each = texts.groupBy("mini", "content", "n").agg(F.sum("count").alias("count"), F.min(F.struct("text_key", "start", "doc_id")).alias("place"), F.bool_or("again").alias("again"))
+    place = F.struct("text_key", "start", "doc_id")
+    each = texts.groupBy("mini", "content", "n").agg(F.sum("count").alias("count"), F.min(place).alias("place"), F.max(place).alias("other"), F.bool_or("again").alias("again"))
     each = stored(each, "contents")
-    single = F.col("count") == 1
-    sums = each.groupBy("mini").agg(F.count("*").alias("kinds"), F.count_if(single).alias("singles"), F.count_if(single & F.col("again")).alias("own"))
-    buckets = sums.where("kinds > 1 and singles > 0 or own > 0").select("mini", "kinds")
-    wanted = each.join(buckets, "mini").select("mini", "kinds", "content", "n", single.alias("single"), "place.*")
+    sums = each.groupBy("mini").agg(F.count("*").alias("kinds"), F.sum("count").alias("places"), F.bool_or("again").alias("again"))
+    buckets = sums.where("places > 1 or again").select("mini", "kinds")
+    wanted = each.join(buckets, "mini").withColumn("copies", F.expr("if(count > 1 and place = other, 2, 1)")).withColumn("at", F.explode(F.array_distinct(F.array("place", "other"))))
     n = F.ceil(F.col("kinds") / block).cast("int")
-    places = wanted.groupBy("text_key").agg(F.collect_list(F.struct("mini", "kinds", "content", "single", "text_key", "start", "n", "doc_id")).alias("wanted"))
-    bodies = rows.join(places, "text_key").mapInArrow(_cut_out(length), "mini long, kinds long, content long, single boolean, text_key long, start int, n int, body binary")
+    places = wanted.groupBy(F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("mini", "kinds", "content", "at.start", "n", "copies", "at.doc_id")).alias("wanted"))
+    bodies = rows.join(places, "text_key").mapInArrow(_cut_out(lengths[-1]), "mini long, kinds long, content long, start int, n int, copies int, body binary")
     dealt = bodies.withColumn("side", F.pmod(F.xxhash64("content"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "kinds")
-    checked = dealt.repartition("mini", "low", "high").sortWithinPartitions("mini", "low", "high").mapInArrow(_repeated(length), "text_key long, start int, n int")
-    twice = each.where("count > 1").select("mini", "content", "n")
-    settled = texts.join(twice, ["mini", "content", "n"], "left_semi").select("text_key", "start", "n")
-    return settled.union(checked).groupBy("text_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).select("mini", "low", "high", "content", "n", "copies", "body")
+    checked = dealt.repartition("mini", "low", "high").sortWithinPartitions("mini", "low", "high").mapInArrow(_repeated(lengths), "mini long, content long, n int, which int, first int, windows int")
+    met = texts.select("mini", "content", "n", "text_key", "start").join(checked, ["mini", "content", "n"])
+    return met.groupBy("text_key").agg(F.collect_list(F.struct("which", (F.col("start") + F.col("first")).alias("start"), F.col("windows").alias("n"))).alias("spans"))
 
 
-def _runs(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
+def _runs(spans: list[dict] | None, length: int, which: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes under windows."""
     out: list[list[int]] = []
-    for s, n in sorted((x["start"], x["n"]) for x in spans or ()):
+    for s, n in sorted((x["start"], x["n"]) for x in spans or () if x["which"] == which):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], s + n - 1 + length)
         else:
@@ -247,31 +307,36 @@ def _runs(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _removed(length: int):
+def _removed(lengths: tuple[int, ...], length: int):
     def run(batches):
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept")}
+            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "removed", "kept")}
             text = b.column(b.schema.get_field_index("text")).cast(pa.large_string()).fill_null("")
             for value, spans in zip(text, b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
                 data = value.as_buffer().to_pybytes()
-                runs = _runs(spans, length)
+                runs = _runs(spans, length, lengths.index(length))
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 left = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)) if runs else data
-                for c, v in zip(out, (len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), [{"start": s, "end": e} for s, e in runs], left), strict=True):
+                repeated = sum(e - s for s, e in _runs(spans, lengths[0], 0))
+                for c, v in zip(out, (len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), repeated, [{"start": s, "end": e} for s, e in runs], left), strict=True):
                     out[c].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary())
             rest = [c for c in b.schema.names if c not in ("text", "spans")]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], [*rest, *out])
 
     return run
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, lang and source if docs has them, n_bytes, n_removed, n_spans, kept_sha256, removed (byte runs), kept (the bytes left)."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, short: int | None = None, piece: int = PIECE) -> DataFrame:
+    """One row per document: doc_id, lang and source if docs has them, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, removed (byte runs), kept (the bytes left).
+
+    n_repeated: bytes under strings of short bytes that start elsewhere too (short None: of length bytes). They are counted, not removed.
+    """
+    lengths = (length,) if short in (None, length) else tuple(sorted((short, length)))
     rows = keyed(docs)
-    met = rows.join(spans(rows, length, block), "text_key", "left").drop("text_key")
+    met = rows.join(spans(rows, lengths, block, piece), "text_key", "left").drop("text_key")
     rest = "".join(f"{c} string, " for c in ("lang", "source") if c in docs.columns)
-    return met.mapInArrow(_removed(length), f"doc_id long, {rest}n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: int, end: int>>, kept binary")
+    return met.mapInArrow(_removed(lengths, length), f"doc_id long, {rest}n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, removed array<struct<start: int, end: int>>, kept binary")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -283,5 +348,6 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns at LENGTH, and n_repeated: bytes in repeats of SHORT bytes or more, which include passages too short to be removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return deduplicated(docs, short=SHORT).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")

@@ -4,12 +4,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tesserae.llm import decontaminate, jaccard_join, language_id, lm_score, packing, quality_rules, suffix_dedup, toxicity
 from tesserae.llm.common import remainder
 from tesserae.llm.components import components
-from tesserae.llm.suffix_array import neighbour_matches, suffix_array
+from tesserae.llm.suffix_array import Intervals, common_prefixes, suffix_array
 
 from .helpers import DOCS, SF, odd_documents, same
 
@@ -92,8 +93,14 @@ def test_suffix_array():
         s = [rng.randint(0, rng.choice([1, 2, 5, 30])) for _ in range(rng.randint(0, 60))]
         order = suffix_array(s)
         assert order == sorted(range(len(s)), key=lambda i: s[i:])
-        common = lambda i, j: next((k for k in range(len(s)) if i + k >= len(s) or j + k >= len(s) or s[i + k] != s[j + k]), 0)  # noqa: B023, E731
-        assert neighbour_matches(s, order) == [max([common(i, j) for j in range(len(s)) if j != i], default=0) for i in range(len(s))]
+        common = lambda i, j: next((k for k in range(len(s)) if i + k >= len(s) or j + k >= len(s) or s[i + k] != s[j + k]), 0 if i != j else len(s) - i)  # noqa: B023, E731
+        assert common_prefixes(s, order) == ([0] if s else []) + [common(a, b) for a, b in zip(order, order[1:], strict=False)]
+        for i in range(len(s)):
+            for m in (1, 2, 4):
+                if i + m <= len(s):
+                    like = [k for k, j in enumerate(order) if s[j : j + m] == s[i : i + m]]
+                    at, others = Intervals(s).of(np.array([i]), np.array([m]))
+                    assert at[0] == like[0] and others[0] == (len(like) > 1)
 
 
 def brute_repeats(texts, length):
@@ -110,15 +117,34 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 2])
-def test_suffix_dedup_against_all_windows(spark, block):
+def repeating_texts():
     rng = random.Random(5)
     base = ["".join(rng.choice("abcdefgh é") for _ in range(300)) for _ in range(4)]
     texts = ["".join(rng.choice(base)[rng.randint(0, 50) : rng.randint(150, 300)] for _ in range(rng.randint(1, 4))) for _ in range(50)]
-    texts += ["a" * 500, None, "", "xy" * 300, texts[3], "short", base[0][:61] + "|" + base[0][:60]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(docs, 60, block).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 60)
+    return texts + ["a" * 500, None, "", "xy" * 300, texts[3], "short", base[0][:61] + "|" + base[0][:60]]
+
+
+@pytest.mark.parametrize(("block", "length", "short", "piece"), [(2048, 60, None, 1 << 22), (2, 60, 41, 1 << 22), (2048, 100, 60, 90), (2048, 24, 24, 50)])
+def test_suffix_dedup_against_all_windows(spark, block, length, short, piece):
+    texts = repeating_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(60)
+    found = suffix_dedup.deduplicated(docs, length, block, short, piece).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, length)
+    repeated = {r.doc_id: r.n_repeated for r in found}
+    assert [repeated[i] for i in range(len(texts))] == [x[1] for x in brute_repeats(texts, short or length)]
+
+
+def test_repeats_come_from_the_suffix_array(monkeypatch):
+    bodies = [t.encode() for t in repeating_texts() if t and len(t.encode()) >= 60]
+    counts = [len(b) - 59 for b in bodies]
+    where = Counter(b[i : i + 60] for b in bodies for i in range(len(b) - 59))
+    runs = lambda groups: {(b, s + k) for b, _, s, n in suffix_dedup.repeats(bodies, counts, groups, 60) for k in range(n)}
+    assert runs([0] * len(bodies)) == {(b, i) for b, body in enumerate(bodies) for i in range(len(body) - 59) if where[body[i : i + 60]] > 1}
+    alone = {(b, i) for b, body in enumerate(bodies) for i in range(len(body) - 59) if sum(body[j : j + 60] == body[i : i + 60] for j in range(len(body) - 59)) > 1}
+    assert runs(list(range(len(bodies)))) == alone
+    monkeypatch.setattr(suffix_dedup.Intervals, "of", lambda self, starts, symbols: (starts, starts < 0))
+    assert runs([0] * len(bodies)) == set()
 
 
 def test_suffix_dedup_query_and_odd_rows(spark, odd, none):
