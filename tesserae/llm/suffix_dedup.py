@@ -4,18 +4,18 @@ Every byte of a string of LENGTH bytes that starts anywhere else too (in any tex
 included) is removed; matches never cross texts. Shorter repeats can be reported beside it.
 1. Each window of LENGTH bytes has a least hash among its K-byte strings; successive windows with
    the same one form a stretch. Equal windows have equal least hashes, so they meet in one bucket.
-2. Equal stretches are collapsed before they move: two places of each go on (one place, twice, where
-   all are in copies of one text), and what is found for them holds for all places. A bucket of one
-   stretch at one place, in which the least hash stands once, has no repeat.
+2. Copies of a text count once, since all their windows repeat. Of equal stretches two places go on,
+   and what is found for them holds for all places. A bucket of one stretch at one place, in which
+   the least hash stands once, has no repeat.
 3. The bytes of a bucket's stretches are cut into short phrases at places told by the window alone.
    The suffix array of the phrases, built by linear grouping (suffix_array.py), gives the intervals
    of places that share all phrases of a window; windows of one interval whose bytes before the
    first phrase and after the last one agree are equal, and those that have an equal are repeats.
-Buckets of more than BLOCK different stretches are dealt to pairs of blocks, so that no task holds
-more than two blocks of a bucket.
+Buckets of more than BLOCK bytes in different stretches are dealt to pairs of blocks, so that no
+task holds more than two blocks of a bucket.
 
-A window is a repeat only where its bytes were compared with another window's; equal stretches are
-taken as equal by 64-bit hashes of them and of their least K-byte string. The texts of PIECE bytes and
+A window is a repeat only where its bytes were compared with another window's; copies of texts are
+told by 64-bit hashes, and equal stretches by hashes of them and of their least K-byte string. Texts of PIECE bytes and
 more are read in overlapping pieces, so that working memory does not follow the longest text.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; of rows that repeat
@@ -33,17 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, long_view, mixed, powers, span_hashes, stored, text_blocks
+from .common import long_view, mixed, powers, span_hashes, stored, text_blocks
 from .jaccard_join import _groups
 from .suffix_array import Intervals
 
 #: A passage of just over 50 words takes about this many bytes; the shorter repeats that the query reports.
 SHORT = 250
-LENGTH, BLOCK, PIECE = 400, 2048, 1 << 22
+LENGTH, BLOCK, PIECE = 400, 1 << 20, 1 << 22
+#: Windows of one stretch at most: longer ones, which lie in periodic text, are split.
+MOST = 1024
 #: Phrases are cut at the least of SPAN successive hashes of GRAM bytes.
-SPAN, GRAM = 32, 8
+SPAN, GRAM = 48, 8
 #: Bytes of stretches that one suffix array holds about at most (more only for one bucket or pair of blocks).
-HELD = 3_200_000
+HELD = 1_600_000
 STRETCHES = "array<struct<mini: bigint, content: bigint, start: int, n: int, again: boolean>>"
 
 
@@ -91,6 +93,10 @@ def stretches(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]):
     new[heads] = True
     starts = np.flatnonzero(new)
     count = np.bincount(np.cumsum(new)[ok] - 1, minlength=len(starts))
+    if len(count) and count.max() > MOST:
+        parts = -(-count // MOST)
+        step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * MOST
+        starts, count = np.repeat(starts, parts) + step, np.minimum(np.repeat(count, parts) - step, MOST)
     row = np.searchsorted(offsets, starts, "right") - 1
     content = span_hashes(data, starts, np.minimum(starts + count - 1 + lengths[-1], offsets[row + 1]))
     chosen = least_places(places, least, length - k + 1)
@@ -136,8 +142,8 @@ def _found(lengths: tuple[int, ...], piece: int):
 
 
 def _cut_out(longest: int):
-    names = ("mini", "kinds", "content", "start", "n", "copies", "body")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ("mini", "size", "content", "start", "n", "body")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches):
         for part, data, offsets in text_blocks(batches, "text", 1 << 22):
@@ -150,7 +156,7 @@ def _cut_out(longest: int):
                 for x in row:
                     first = offsets[i] + x["start"]
                     body = data[first : min(first + x["n"] - 1 + longest, offsets[i + 1])].tobytes()
-                    for to, value in zip(out, (x["mini"], x["kinds"], x["content"], x["start"], x["n"], x["copies"], body), strict=True):
+                    for to, value in zip(out, (x["mini"], x["size"], x["content"], x["start"], x["n"], body), strict=True):
                         to.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], list(names))
 
@@ -216,15 +222,22 @@ def repeats(bodies: list[bytes], counts: list[int], groups: list[int], length: i
         if not len(keep):
             continue
         of, at, back = of[keep], at[keep], back[keep]
-        pieces = [group[of], interval[back], (last - first)[keep], cuts[first[keep]] - at]
-        pieces += [eight[at + i] for i in range(0, span, 8)] + [eight[at + size - 8 - i] for i in range(0, span + gram, 8)]
+        where_cut, symbols = cuts[first[keep]] - at, (last - first)[keep]
+        del first, last, new
+
+        def parts(at, i=slice(None)):
+            """All that two windows must have in common, for the windows in order i."""
+            yield from (group[of[i]], interval[back[i]], symbols[i], where_cut[i])  # noqa: B023
+            yield from (eight[at + k] for k in range(0, span, 8))
+            yield from (eight[at + size - 8 - k] for k in range(0, span + gram, 8))  # noqa: B023
+
         key = np.zeros(len(at), np.uint64)
-        for p in pieces:
+        for p in parts(at):
             key = mixed(key * np.uint64(3) + p.astype(np.uint64))
         order = np.argsort(key, kind="stable")
+        del key
         same = np.ones(len(order) - 1, bool)
-        for p in pieces:
-            p = p[order]
+        for p in parts(at[order], order):
             same &= p[1:] == p[:-1]
         twice = np.zeros(len(at), bool)
         twice[order[1:][same]] = True
@@ -239,7 +252,7 @@ def repeats(bodies: list[bytes], counts: list[int], groups: list[int], length: i
 
 
 def _repeated(lengths: tuple[int, ...]):
-    """Rows (mini, low, high, content, n, copies, body) to the repeated windows (mini, content, n, which length, start, number) of the contents."""
+    """Rows (mini, low, high, content, n, body) to the repeated windows (mini, content, n, which length, start, number) of the contents."""
     names = ["mini", "content", "n", "which", "first", "windows"]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
@@ -252,9 +265,9 @@ def _repeated(lengths: tuple[int, ...]):
         held: list[tuple] = []
         size = serial = 0
         for t, heads in _groups(batches, ["mini", "low", "high"]):
-            cols = [t[c].to_pylist() for c in ("mini", "content", "n", "body", "copies")]
+            cols = [t[c].to_pylist() for c in ("mini", "content", "n", "body")]
             for s, e in zip(heads.tolist(), heads[1:].tolist(), strict=False):
-                more = [(serial, *r[:4]) for r in zip(*(c[s:e] for c in cols), strict=True) for _ in range(r[4])]
+                more = [(serial, *r) for r in zip(*(c[s:e] for c in cols), strict=True)]
                 length = sum(len(r[4]) for r in more)
                 if held and size + length > HELD:
                     yield settled(held)
@@ -273,27 +286,28 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(rows: DataFrame, lengths: tuple[int, ...], block: int = BLOCK, piece: int = PIECE) -> DataFrame:
-    """(text_key, spans array<struct<which, start, n>>): the windows of each length in a text that start elsewhere too, as runs of start places.
+    """(text_key, copies, spans array<struct<which, start, n>>): of texts that may have repeats, the rows with the text and the windows of each length that start elsewhere too, as runs of start places.
 
     rows: keyed(docs). Its columns all go through the join that fetches texts, so that the shuffle is
     the same as that of deduplicated() and is run once.
     """
     found = rows.select("doc_id", "text_key", "text").mapInArrow(_found(lengths, piece), f"doc_id long, text_key long, found {STRETCHES}").select("doc_id", "text_key", F.inline("found"))
     texts = stored(found.groupBy("mini", "content", "n", "text_key", "start").agg(F.count("*").alias("count"), F.min("doc_id").alias("doc_id"), F.bool_or("again").alias("again")), "stretches")
+    met = texts.groupBy("mini").agg(F.sum("count").alias("places"), F.bool_or("again").alias("again")).where("places > 1 or again")
+    near = stored(texts.join(met.select("mini"), "mini", "left_semi"), "met")
     place = F.struct("text_key", "start", "doc_id")
-    each = texts.groupBy("mini", "content", "n").agg(F.sum("count").alias("count"), F.min(place).alias("place"), F.max(place).alias("other"), F.bool_or("again").alias("again"))
-    each = stored(each, "contents")
-    sums = each.groupBy("mini").agg(F.count("*").alias("kinds"), F.sum("count").alias("places"), F.bool_or("again").alias("again"))
-    buckets = sums.where("places > 1 or again").select("mini", "kinds")
-    wanted = each.join(buckets, "mini").withColumn("copies", F.expr("if(count > 1 and place = other, 2, 1)")).withColumn("at", F.explode(F.array_distinct(F.array("place", "other"))))
-    n = F.ceil(F.col("kinds") / block).cast("int")
-    places = wanted.groupBy(F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("mini", "kinds", "content", "at.start", "n", "copies", "at.doc_id")).alias("wanted"))
-    bodies = rows.join(places, "text_key").mapInArrow(_cut_out(lengths[-1]), "mini long, kinds long, content long, start int, n int, copies int, body binary")
+    each = near.groupBy("mini", "content", "n").agg(F.min(place).alias("place"), F.max(place).alias("other"), F.bool_or("again").alias("again"))
+    kinds = near.groupBy("mini", "content", "n").agg(F.lit(1)).groupBy("mini").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + lengths[-1]).alias("size"))
+    wanted = each.join(kinds, "mini").where("kinds > 1 or place != other or again").withColumn("at", F.explode(F.array_distinct(F.array("place", "other"))))
+    places = wanted.groupBy(F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("mini", "size", "content", "at.start", "n", "at.doc_id")).alias("wanted"))
+    bodies = rows.join(places, "text_key").mapInArrow(_cut_out(lengths[-1]), "mini long, size long, content long, start int, n int, body binary")
+    n = F.ceil(F.col("size") / block).cast("int")
     dealt = bodies.withColumn("side", F.pmod(F.xxhash64("content"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).select("mini", "low", "high", "content", "n", "copies", "body")
+    dealt = dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).select("mini", "low", "high", "content", "n", "body")
     checked = dealt.repartition("mini", "low", "high").sortWithinPartitions("mini", "low", "high").mapInArrow(_repeated(lengths), "mini long, content long, n int, which int, first int, windows int")
-    met = texts.select("mini", "content", "n", "text_key", "start").join(checked, ["mini", "content", "n"])
-    return met.groupBy("text_key").agg(F.collect_list(F.struct("which", (F.col("start") + F.col("first")).alias("start"), F.col("windows").alias("n"))).alias("spans"))
+    all_places = near.select("mini", "content", "n", "text_key", "start", "count").join(checked, ["mini", "content", "n"], "left")
+    run = F.struct("which", (F.col("start") + F.col("first")).alias("start"), F.col("windows").alias("n"))
+    return all_places.groupBy("text_key").agg(F.max("count").alias("copies"), F.collect_list(F.when(F.col("windows").isNotNull(), run)).alias("spans"))
 
 
 def _runs(spans: list[dict] | None, length: int, which: int) -> list[tuple[int, int]]:
@@ -312,16 +326,16 @@ def _removed(lengths: tuple[int, ...], length: int):
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "removed", "kept")}
             text = b.column(b.schema.get_field_index("text")).cast(pa.large_string()).fill_null("")
-            for value, spans in zip(text, b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
+            get = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+            for value, copies, spans in zip(text, get("copies"), get("spans"), strict=True):
                 data = value.as_buffer().to_pybytes()
-                runs = _runs(spans, length, lengths.index(length))
+                runs, shorter = ([(0, len(data))] if copies and copies > 1 and len(data) >= n else _runs(spans, n, lengths.index(n)) for n in (length, lengths[0]))
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 left = b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)) if runs else data
-                repeated = sum(e - s for s, e in _runs(spans, lengths[0], 0))
-                for c, v in zip(out, (len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), repeated, [{"start": s, "end": e} for s, e in runs], left), strict=True):
+                for c, v in zip(out, (len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), sum(e - s for s, e in shorter), [{"start": s, "end": e} for s, e in runs], left), strict=True):
                     out[c].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary())
-            rest = [c for c in b.schema.names if c not in ("text", "spans")]
+            rest = [c for c in b.schema.names if c not in ("text", "copies", "spans")]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], [*rest, *out])
 
     return run

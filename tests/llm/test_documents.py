@@ -124,9 +124,9 @@ def repeating_texts():
     return texts + ["a" * 500, None, "", "xy" * 300, texts[3], "short", base[0][:61] + "|" + base[0][:60]]
 
 
-@pytest.mark.parametrize(("block", "length", "short", "piece"), [(2048, 60, None, 1 << 22), (2, 60, 41, 1 << 22), (2048, 100, 60, 90), (2048, 24, 24, 50)])
+@pytest.mark.parametrize(("block", "length", "short", "piece"), [(1 << 20, 60, None, 1 << 22), (150, 60, 41, 1 << 22), (1 << 20, 100, 60, 90), (1 << 20, 24, 24, 50)])
 def test_suffix_dedup_against_all_windows(spark, block, length, short, piece):
-    texts = repeating_texts()
+    texts = repeating_texts() + ["a" * 2500 + "b" * 2300, "a" * 1700 + "c"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(60)
     found = suffix_dedup.deduplicated(docs, length, block, short, piece).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
