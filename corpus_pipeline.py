@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.llm import decontaminate, jaccard_join, packing, quality_rules, suffix_dedup
 from tesserae.llm.common import stored
 
+#: Bytes of a repeat: a passage of just over 50 words has about as many or more.
+REPEATED = suffix_dedup.SHORT
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -28,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated byte strings out of the texts; documents of which no word is left go."""
-    return suffix_dedup.cleaned(docs)
+    """Takes byte strings of REPEATED bytes that repeat out of the texts; documents of which no word is left go."""
+    return suffix_dedup.cleaned(docs, REPEATED)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
