@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark):
             assert sorted(r.doc_id for r in after) == [ids[i] for i in range(len(ids)) if label[i] == i]
         if name == "repeats":
             ids = sorted(before)
-            left = {i: n - gone for i, (n, gone, _, _) in zip(ids, brute_repeats([before[i].text for i in ids], 400), strict=True)}
+            left = {i: n - gone for i, (n, gone, _, _) in zip(ids, brute_repeats([before[i].text for i in ids], corpus_pipeline.REPEATED), strict=True)}
             assert all(len(r.text.encode()) == left[r.doc_id] for r in after if "�" not in r.text) and all(left[i] == 0 or i in {r.doc_id for r in after} for i in ids)
         if name == "benchmark":
             items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
