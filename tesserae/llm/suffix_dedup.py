@@ -39,13 +39,13 @@ from .suffix_array import Intervals
 
 #: A passage of just over 50 words takes about this many bytes; the shorter repeats that the query reports.
 SHORT = 250
-LENGTH, BLOCK, PIECE = 400, 1 << 20, 1 << 22
+LENGTH, BLOCK, PIECE = 400, 1 << 19, 1 << 22
 #: Windows of one stretch at most: longer ones, which lie in periodic text, are split.
 MOST = 1024
 #: Phrases are cut at the least of SPAN successive hashes of GRAM bytes.
 SPAN, GRAM = 48, 8
 #: Bytes of stretches that one suffix array holds about at most (more only for one bucket or pair of blocks).
-HELD = 1_600_000
+HELD = 600_000
 STRETCHES = "array<struct<mini: bigint, content: bigint, start: int, n: int, again: boolean>>"
 
 
@@ -120,7 +120,7 @@ def _found(lengths: tuple[int, ...], piece: int):
 
     def pieces(batches):
         """Parts of a block, their bytes and offsets, the place of the first byte in its text, and the windows that count."""
-        for part, data, offsets in text_blocks(batches, "text"):
+        for part, data, offsets in text_blocks(batches, "text", 1 << 19):
             if part.num_rows > 1 or len(data) <= piece:
                 yield part, data, offsets, 0, len(data)
                 continue
