@@ -3,8 +3,9 @@
 The kernel of two words counts their common subsequences of three characters, each weighted with
 DECAY for every character skipped (spans of at most SPAN characters), and is normalised by the
 weights of all subsequences of either word. So a word with a letter put in, left out or swapped
-stays close to the word it comes from. Words are folded first: lower case, accents off, common
-digit and sign substitutes to letters, other signs dropped. Runs of successive words of at most GAPPED
+stays close to the word it comes from, and a word's kernel with itself is 1. Words are folded first:
+lower case, accents and styles of letters off, common digit and sign substitutes to letters, other
+signs dropped. Runs of successive words of at most GAPPED
 letters are also joined, each run and each JOIN or fewer successive words of it to one more word (as is
 each run of single letters), in training and scoring alike, so that a word gapped by blanks is met.
 
@@ -39,21 +40,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, remainder, stored, text_blocks
+from .common import discard, remainder, span_hashes, stored, text_blocks
 
 ROWS, WORDS, POOL, HARD, LANDMARKS, DECAY, SPAN, ROUNDS, LEAST, FLOOR, TOP = 2000, 1 << 20, 8000, 4000, 256, 0.5, 4, 3, 3, -2.0, 2.0
-GAPPED, JOIN, CHUNK = 2, 8, 1 << 20
+GAPPED, JOIN, CHUNK, LETTERS = 2, 8, 1 << 20, 0x32400
 OFFSETS = [(j, k) for k in range(2, SPAN + 1) for j in range(1, k)]
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _known: dict = {}
 
 
 def _codes() -> np.ndarray:
-    """Code points under 2^16: 1-26 letters, 27-29 other letters, 30 digits, 31 dropped."""
+    """For code points under LETTERS, beyond which there are no letters: 1-26 letters, 27-29 other letters, 30 digits, 31 dropped."""
     if "codes" not in _known:
-        out = np.full(1 << 16, 31, np.uint8)
-        for i in range(1 << 16):
-            c = SUBSTITUTES.get(chr(i)) or unicodedata.normalize("NFD", chr(i).lower())[:1]
+        out = np.full(LETTERS, 31, np.uint8)
+        for i in range(LETTERS):
+            c = SUBSTITUTES.get(chr(i)) or unicodedata.normalize("NFKD", chr(i).lower())[:1].lower()
             if "a" <= c <= "z":
                 out[i] = ord(c) - 96
             elif chr(i).isalpha():
@@ -69,7 +70,7 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Codes of a block of texts with one 0 before and after each word; places of the zeros before words; their rows."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    codes = np.insert(_codes()[np.minimum(points, (1 << 16) - 1)], heads, 0)
+    codes = np.insert(_codes()[np.minimum(points, LETTERS - 1)], heads, 0)
     heads = heads + np.arange(len(heads))
     keep = codes != 31
     heads = np.concatenate([[0], np.cumsum(keep)])[heads]
@@ -93,17 +94,36 @@ def triples(codes: np.ndarray):
             yield at, (codes[at].astype(np.int32) << 10) | (codes[at + j].astype(np.int32) << 5) | codes[at + k], DECAY ** (k - 2)
 
 
+def weighed(codes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct triples of each word, their words (owner: a number for each place) and their weights, those of all occurrences summed."""
+    found = [((owner[at].astype(np.int64) << 15) | triple, np.full(len(at), weight)) for at, triple, weight in triples(codes)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    keys, weights = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, weights = keys[order], weights[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[heads] & 0x7FFF, keys[heads] >> 15, np.add.reduceat(weights, heads) if len(heads) else np.zeros(0)
+
+
 def margins(codes: np.ndarray, zeros: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
-    """The decision value of each word; FLOOR for those of fewer than LEAST letters."""
+    """The decision value of each word; FLOOR for those of fewer than LEAST letters. Words of a block that are equal are valued once."""
     if not len(zeros):
         return np.zeros(0)
-    value, norm = np.zeros(len(codes)), np.zeros(len(codes))
-    for at, triple, weight in triples(codes):
-        value[at] += weight * table[triple]
-        norm[at] += weight * weight
-    ends = np.append(zeros[1:], len(codes) - 1)
-    out = np.add.reduceat(value, zeros) / np.sqrt(np.maximum(np.add.reduceat(norm, zeros), 1e-9)) + bias
-    return np.where(ends - zeros - 1 >= LEAST, np.clip(out, FLOOR, TOP), FLOOR)
+    size = np.append(zeros[1:], len(codes) - 1) - zeros - 1
+    out = np.full(len(zeros), FLOOR)
+    long = np.flatnonzero(size >= LEAST)
+    if not len(long):
+        return out
+    _, first, back = np.unique(span_hashes(codes, zeros[long] + 1, zeros[long] + 1 + size[long]), return_index=True, return_inverse=True)
+    of = long[first]
+    n = size[of] + 1  # with the zero before
+    heads = np.cumsum(n) - n
+    own = np.append(codes[np.arange(n.sum()) + np.repeat(zeros[of] - heads, n)], np.uint8(0))
+    triple, word, weight = weighed(own, np.append(np.repeat(np.arange(len(of)), n), len(of)))
+    value, norm = np.bincount(word, weight * table[triple], len(of)), np.bincount(word, weight * weight, len(of))
+    out[long] = np.clip(value / np.sqrt(np.maximum(norm, 1e-9)) + bias, FLOOR, TOP)[back]
+    return out
 
 
 def _runs(zeros: np.ndarray, size: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,15 +162,13 @@ def joined(codes: np.ndarray, zeros: np.ndarray, rows: np.ndarray):
 
 
 def vectors(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Triples and normalised weights of each (folded) word."""
-    out = []
-    for w in words:
-        codes = np.concatenate([[0], np.frombuffer(w.encode("latin-1"), np.uint8), [0]]).astype(np.uint8)
-        found = list(triples(codes))
-        t = np.concatenate([x[1] for x in found])
-        v = np.concatenate([np.full(len(x[1]), x[2]) for x in found])
-        out.append((t, v / np.sqrt((v * v).sum())))
-    return out
+    """Distinct triples and normalised weights of each (folded) word."""
+    codes = np.frombuffer(("\0" + "\0".join(words) + "\0").encode("latin-1"), np.uint8)
+    owner = np.cumsum(codes == 0) - 1
+    triple, word, weight = weighed(codes, owner)
+    weight = weight / np.sqrt(np.bincount(word, weight * weight, len(words)))[word]
+    bounds = np.searchsorted(word, np.arange(len(words) + 1))
+    return [(triple[i:j], weight[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
 
 
 def kernel(words: list[str], dense: np.ndarray) -> np.ndarray:

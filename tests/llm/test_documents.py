@@ -156,6 +156,40 @@ def test_suffix_dedup_query_and_odd_rows(spark, odd, none):
     assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "2", "3", "None", "5", "6", "None"])  # the long text twice and the periodic one go
 
 
+def test_toxicity_kernel_against_enumerated_subsequences():
+    def counted(word):
+        full, out = f"\0{word}\0", Counter()
+        for i in range(len(full)):
+            for k in range(i + 2, min(i + toxicity.SPAN, len(full) - 1) + 1):
+                for j in range(i + 1, k):
+                    out[full[i] + full[j] + full[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    rng = random.Random(8)
+    words = ["banana", "bandana", "aaaaaa", "abc", "abcabcabcabc", *("".join(rng.choice("abcd") for _ in range(rng.randint(3, 14))) for _ in range(40))]
+    code = lambda w: "".join(chr(ord(c) - 96) for c in w)
+    dense = np.zeros((1 << 15, len(words)), np.float32)
+    for k, (t, v) in enumerate(toxicity.vectors([code(w) for w in words])):
+        dense[t, k] = v
+    got = toxicity.kernel([code(w) for w in words], dense)
+    bags = [counted(w) for w in words]
+    dot = lambda a, b: sum(n * b[t] for t, n in a.items())
+    want = np.array([[dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 for b in bags] for a in bags])
+    assert np.allclose(got, want, atol=1e-5) and np.allclose(np.diag(got), 1, atol=1e-5) and abs(want[0, 1] - 0.720) < 0.01
+    data = (" ".join(words) + " ab banana").encode()
+    codes, zeros, _ = toxicity.folded(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    value = toxicity.margins(codes, zeros, dense[:, 0], 0.0)
+    assert np.allclose(value[: len(words)], want[:, 0], atol=1e-5) and value[-2] == toxicity.FLOOR and abs(value[-1] - 1) < 1e-5
+
+
+def test_toxicity_folds_letters_of_all_planes():
+    text = "\U0001d4be\U0001d4b9\U0001d4be\U0001d45c\U0001d4c9 \U00020000\U00020001\U00020002 ıdïöt"
+    data = text.encode()
+    codes, zeros, _ = toxicity.folded(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    words = bytes(codes).strip(b"\0").split(b"\0")
+    assert words[0] == bytes(ord(c) - 96 for c in "idiot") and len(words[1]) == 3 and min(words[1]) >= 27 and words[2][1:] == words[0][1:]
+
+
 def test_decontamination(spark, odd, none):
     items = spark.createDataFrame([(1, "Alice has 12 apples and gives 5 apples to Bob, so how many apples does Alice have now in total?"), (2, "too short item"), (3, None), (None, "")], "item_id long, text string")
     texts = ["Intro. Carol has 40 apples and gives 7 apples to Dave, so how many apples does Carol have now in total? Yes", "alice HAS 12 apples and gives 5 apples to bob, so how many apples does alice have now in total?", "this is a too short item of text", "Carol has 40 apples", None, "Eve has 4 apples and gives 5 pears"]
