@@ -5,9 +5,11 @@ length of the longest match in the language's sample. A text is parsed from left
 such longest phrases; the language that needs the fewest, weighted with the logarithm of its
 sample's length over the text's length (an estimate of the cross-entropy in bits), wins.
 
-Texts are folded: lower case, each run of other characters than letters is one blank. They are
-parsed in segments of SEGMENT folded characters, whole texts always; all segments of a block of
-documents step through an automaton's table together.
+Texts are folded: lower case, each run of other characters than letters is one blank. A letter that
+no sample has is a phrase of its own. All segments of SEGMENT folded characters of a block of
+documents step through an automaton's table together; then each goes on from the state in which the
+one before ended, until it meets the states that it had when it began afresh. So the phrases are
+those of one parse of the whole text.
 
 The sample is bounded: ROWS rows of different texts of a language, those of the lowest text hash, and
 CHARS characters in all, shared equally among them. Where a language has fewer texts all are taken.
@@ -33,15 +35,15 @@ from pyspark.sql import functions as F
 
 from .common import remainder, text_blocks
 
-ROWS, CHARS, PIECE, SEGMENT, CODES = 96, 57_600, 120, 512, 64
+ROWS, CHARS, PIECE, SEGMENT, CODES, LETTERS = 96, 57_600, 120, 1024, 64, 0x32400
 _known: dict = {}
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """For code points under 2^17: the lower-case form, and whether it is a letter."""
+    """For code points under LETTERS, beyond which there are no letters: the lower-case form, and whether it is a letter."""
     if "classes" not in _known:
-        low, letter = np.arange(1 << 17, dtype=np.int32), np.zeros(1 << 17, bool)
-        for i in range(1 << 17):
+        low, letter = np.arange(LETTERS, dtype=np.int32), np.zeros(LETTERS, bool)
+        for i in range(LETTERS):
             c = chr(i)
             if c.isalpha():
                 letter[i] = True
@@ -58,7 +60,7 @@ class Automata:
         self.names = sorted(samples)
         low, letter = _classes()
         every = np.concatenate([np.zeros(0, np.int64)] + [self._points("\n".join(samples[n])) for n in self.names])
-        every = low[np.minimum(every, (1 << 17) - 1)][letter[np.minimum(every, (1 << 17) - 1)]]
+        every = low[np.minimum(every, LETTERS - 1)][letter[np.minimum(every, LETTERS - 1)]]
         seen, count = np.unique(every, return_counts=True)
         letters = seen[np.argsort(-count, kind="stable")]
         # 0: blank, 1..: the letters of the samples, the commonest first; all others share the last code
@@ -78,35 +80,72 @@ class Automata:
         return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
 
     def folded(self, points: np.ndarray) -> np.ndarray:
-        codes = self.code[np.minimum(points, (1 << 17) - 1)]
+        codes = self.code[np.minimum(points, LETTERS - 1)]
         keep = codes > 0
         keep[1:] |= codes[:-1] > 0
         return codes[keep]
 
-    def phrases(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Number of phrases of each segment (start, size) for each language."""
-        order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
-        out = np.zeros((len(self.names), len(starts)), np.int64)
-        live = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")
+    def phrases(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Number of phrases that end in each segment (start, size) for each language. follows: whether a segment goes on the text of the one before."""
         rare = self.size > CODES and len(codes) > 0 and codes.max() >= CODES - 1
+        out = np.zeros((len(self.names), len(starts)), np.int64)
+        if not len(starts):
+            return out
+        last = np.append(~follows[1:], True)
+        order = np.argsort(-sizes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        widths = np.searchsorted(-sizes[order], -np.arange(sizes.max()), "left")
+        # the state after each letter of a segment, and the phrases that ended in it by then: by letter, then segment
+        after, ended = np.zeros((len(widths), len(starts)), np.int32), np.zeros((len(widths), len(starts)), np.int32)
         for k, (table, keys, places, root) in enumerate(self.tables):
-            state, count = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
-            for t, n in enumerate(live):
-                c = codes[starts[:n] + t]
+
+            def step(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """States after one more letter, and the phrases that it ends."""
                 if rare:
-                    to = table[state[:n] * CODES + np.minimum(c, CODES - 1)]
+                    to = table[state * CODES + np.minimum(c, CODES - 1)]
                     if len(keys) and len(at := np.flatnonzero(c >= CODES - 1)):
                         key = state[at].astype(np.int64) * self.size + c[at]
                         place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                         to[at] = np.where(keys[place] == key, places[place], -1)
                 else:
-                    to = table[state[:n] * CODES + c]
+                    to = table[state * CODES + c]
                 miss = np.flatnonzero(to < 0)
-                count[miss] += 1
+                more = np.zeros(len(c), np.int32)
                 to[miss] = root[c[miss]]
-                state[:n] = to
-            out[k, order] = count + (state > 0)
+                more[miss] = (state[miss] > 0).astype(np.int32) + (to[miss] == 0)
+                return to, more
+
+            # every segment from the root
+            state, count = np.zeros(len(starts), np.int32), np.zeros(len(starts), np.int32)
+            first = starts[order]
+            for t, n in enumerate(widths):
+                state[:n], more = step(state[:n], codes[first[:n] + t])
+                count[:n] += more
+                after[t, :n], ended[t, :n] = state[:n], count[:n]
+            # those that follow, from where the one before ended, until the states are the same
+            from_root, in_all = state[place], count[place]
+            begun, final, total = np.zeros(len(starts), np.int32), from_root.copy(), in_all.copy()
+            late = np.flatnonzero(follows)
+            while len(late := late[final[late - 1] != begun[late]]):
+                begun[late] = state = final[late - 1]
+                live, count = late, np.zeros(len(late), np.int32)
+                t = 0
+                while len(live):
+                    state, more = step(state, codes[starts[live] + t])
+                    count += more
+                    met = after[t, place[live]] == state  # from here on the phrases are those of the parse from the root
+                    done = ~met & (sizes[live] == t + 1)
+                    if met.any() or done.any():
+                        of = live[met]
+                        final[of], total[of] = from_root[of], count[met] + in_all[of] - ended[t, place[of]]
+                        final[live[done]], total[live[done]] = state[done], count[done]
+                        go_on = ~met & ~done
+                        live, state, count = live[go_on], state[go_on], count[go_on]
+                    t += 1
+                late = np.unique(np.minimum(late + 1, len(starts) - 1))
+                late = late[follows[late]]
+            out[k] = total + (last & (final > 0))
         return out
 
 
@@ -167,7 +206,7 @@ def _predict(samples: dict[str, list[str]]):
             n = len(offsets) - 1
             points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
             heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-            codes = model.code[np.minimum(points, (1 << 17) - 1)]
+            codes = model.code[np.minimum(points, LETTERS - 1)]
             keep = codes > 0
             keep[1:] |= codes[:-1] > 0
             edge = heads[:-1][heads[:-1] < len(codes)]
@@ -180,7 +219,7 @@ def _predict(samples: dict[str, list[str]]):
             row = np.repeat(np.arange(n), each)
             step = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
             starts = heads[row] + step * SEGMENT
-            counts = model.phrases(codes, starts, np.minimum(heads[row + 1] - starts, SEGMENT))
+            counts = model.phrases(codes, starts, np.minimum(heads[row + 1] - starts, SEGMENT), step > 0)
             bits = np.array([np.bincount(row, c, n) * b for c, b in zip(counts, model.bits, strict=True)]).reshape(-1, n) / np.maximum(size, 1)
             none = np.diff(letters) == 0
             if len(model.names):

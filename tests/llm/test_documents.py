@@ -263,25 +263,41 @@ def test_language_id(spark, odd, none):
     assert {r.lang_pred for r in language_id.predicted(rows, {}).collect()} == {"und"}
 
 
-def test_phrases_equal_plain_parsing():
-    model = language_id.Automata({"a": ["abcabcabd xyz"], "b": ["zzz yyx ab"]})
+def plain_phrases(data: list, sample: list) -> int:
+    data, sample = "".join(map(chr, data)), "".join(map(chr, sample))
+    at, n = 0, 0
+    while at < len(data):
+        size = 1
+        while at + size <= len(data) and data[at : at + size] in sample:
+            size += 1
+        at += max(size - 1, 1)
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("segment", [512, 7, 1])
+def test_phrases_equal_plain_parsing(segment):
     rng = random.Random(2)
-    for _ in range(30):
-        text = "".join(rng.choice("abcdxyz q") for _ in range(rng.randint(1, 60)))
-        codes = model.folded(model._points(text))
-        import numpy as np
-
-        got = model.phrases(codes, np.array([0]), np.array([len(codes)]))[:, 0]
-        for k, name in enumerate(model.names):
-            sample = model.folded(model._points({"a": "abcabcabd xyz", "b": "zzz yyx ab"}[name])).tobytes()
-            data, at, n = codes.tobytes(), 0, 0
-            while at < len(data):
-                size = 1
-                while at + size <= len(data) and data[at : at + size] in sample:
-                    size += 1
-                at += max(size - 1, 1)
-                n += 1
-            assert abs(int(got[k]) - n) <= 1 + sum(c not in sample for c in data)
+    samples = {"a": ["abcabcabd xyz"], "b": ["zzz yyx ab"], "c": ["".join(rng.choice("abc\U00020000\u4e2d ") for _ in range(300))]}
+    model = language_id.Automata(samples)
+    texts = ["".join(rng.choice("abcdxyz q\U00020000\u4e2d") for _ in range(rng.choice([1, 30, 60, 3000]))) for _ in range(12)] + ["ab" * 900, samples["c"][0] * 9]
+    coded = [model.folded(model._points(t)) for t in texts]
+    size = np.array([len(c) for c in coded])
+    heads = np.cumsum(size) - size
+    each = -(-size // segment)
+    row = np.repeat(np.arange(len(size)), each)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    starts = heads[row] + step * segment
+    got = model.phrases(np.concatenate(coded), starts, np.minimum((heads + size)[row] - starts, segment), step > 0)
+    for k, name in enumerate(model.names):
+        sample = model.folded(model._points("\n".join(samples[name]))).tolist()
+        assert np.bincount(row, got[k], len(texts)).tolist() == [plain_phrases(c.tolist(), sample) for c in coded]
+
+
+def test_language_id_knows_letters_of_all_planes(spark):
+    docs = spark.createDataFrame([(1, True, "\U00020000\U00020001"), (2, True, "abc")], "doc_id long, held_out boolean, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predicted(docs, {"zh": ["\U00020000\U00020001\U00020002"], "en": ["abc abd"]}).collect()}
+    assert got == {1: "zh", 2: "en"}
 
 
 def test_lm_score(spark, odd, none):
@@ -368,7 +384,7 @@ def test_every_letter_of_the_samples_has_its_own_code():
     assert len({int(model.code[ord(c)]) for c in text}) == len(set(text)) > language_id.CODES
     for part in (text[100:300], text[300:100:-1], "".join(rng.choice(letters) for _ in range(200)) + "xyz"):
         codes = model.folded(model._points(part))
-        got = model.phrases(codes, np.array([0]), np.array([len(codes)]))[:, 0].tolist()
+        got = model.phrases(codes, np.array([0]), np.array([len(codes)]), np.array([False]))[:, 0].tolist()
         plain = []
         for name in model.names:
             at, n = 0, 0
