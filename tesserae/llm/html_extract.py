@@ -6,12 +6,15 @@ region it lies in (an article, furniture of the page, or neither; told from elem
 class, id and role words). A decision tree, grown on the small labelled table BLOCKS, keeps or
 drops it. Furniture told from words or from a form gives way to an article or main element inside it
 (after the first article of the page only to main, as comments and related articles follow then), a
-form to words of an article as well; and an article word of its own on the same element wins.
+form to words of an article as well; and an article word of its own on the same element wins. On a
+page of which nothing would stay, such furniture is none: word counts and link densities decide.
 
 Defined results: a null or empty html gives the empty text; elements that are never closed end
-with their page; character references are decoded once; white space inside a block becomes one
+with their page, but hide nothing (a title, script or the like then ends at the next tag that cannot
+be in it; a comment hides the rest); tags without an end are text; a page takes time linear in its
+length; character references are decoded once; white space inside a block becomes one
 blank, blocks are joined by one; rows that repeat give equal results each; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Element names of HTML, by what they do to text.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "head", "select", "textarea", "button")
+HIDDEN = frozenset("noscript template svg math object canvas audio video head select button".split())
+RAW = frozenset("script style title textarea iframe".split())
 #: Tags that leave a head open; any other one, or text, ends it, as its end tag may be left out.
 HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes script style template title noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,16 +43,16 @@ FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts alert banner bio breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright discussion disqus dropdown feedback foot footer form gdpr hidden login masthead menu menubar message modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination paywall popup privacy promo promotion recommended register related replies reply respond search share sharing shop sidebar signin signup skip skyscraper social sponsor sponsored subscribe subscription taboola tagcloud tags teaser toc toolbar topbar tracking warning widget".split()
 )
 ARTICLE_WORDS = frozenset("article articlebody body content entry main maincontent post postcontent story text".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(" + "|".join(HIDDEN[:-4]) + r")\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
-    re.S | re.I,
-)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
+#: What ends a raw element that is never closed.
+PAGE_PART = re.compile(r"</?(?:html|head|body)\b", re.I)
+FLOW = re.compile(r"</?(?:html|head|body|main|article|section|header|footer|nav|div|p|h[1-6]|ul|ol|table)\b", re.I)
 NAMES = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words before a furniture word that say something of the page only ("no-sidebar").
 ABOUT = frozenset("no not has have with without hide".split())
-#: The last two are furniture by words or by a form alone; blocks count them as IN_FURNITURE.
+#: The last two are furniture by words or by a form alone; the tree takes them as IN_FURNITURE.
 NEITHER, IN_ARTICLE, IN_FURNITURE, IN_WORDS, IN_FORM = 0, 1, 2, 3, 4
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "region", "heading")
 
@@ -203,11 +207,78 @@ def _region(name: str, attributes: str, region: int, seen: bool = False) -> int:
     return region
 
 
+def _tag_end(page: str, at: int, state: dict) -> int:
+    """The place after the tag whose attributes begin at a place; there is a > after it. A > in a quoted value does not end it, where the tag ends at all else."""
+    k = at
+    while not state["simple"]:
+        m = STOP.search(page, k)
+        if not m:
+            state["failed"] += 1
+            state["simple"] = state["failed"] > 3
+            break
+        if m[0] == ">":
+            return m.end()
+        before = m.start() - 1
+        while before >= at and page[before].isspace():
+            before -= 1
+        k = m.end()
+        if before >= at and page[before] == "=" and m[0] not in state["last"]:
+            close = page.find(m[0], k)
+            if close < 0:
+                state["last"].add(m[0])
+            else:
+                k = close + 1
+    return page.find(">", at) + 1
+
+
+def tokens(page: str):
+    """(text, "", "", 0) for text, and (kind, name, attributes, place) for tags, kind <, </ or <> (closed by itself). In time linear in the page."""
+    state = {"simple": False, "failed": 0, "last": set()}
+    closed: dict[str, bool] = {}
+    ends = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+    final = page.rfind(">")
+    i, n = 0, len(page)
+    while i < n:
+        j = page.find("<", i)
+        if j < 0 or j > final:
+            yield page[i:], "", "", 0
+            return
+        if j > i:
+            yield page[i:j], "", "", 0
+        m = NAME.match(page, j + 1)
+        if m:
+            end = _tag_end(page, m.end(), state)
+            name, attributes = m[1].lower(), page[m.end() : end - 1]
+            kind = "</" if page[j + 1] == "/" else "<>" if attributes.rstrip().endswith("/") else "<"
+            i = end
+            if kind == "<" and name in RAW:
+                stop = ends[name].search(page, end) if closed.get(name, True) else None
+                closed[name] = stop is not None
+                stop = stop or (PAGE_PART if name in ("script", "style") else FLOW).search(page, end)
+                i = n if stop is None else stop.start() if not closed[name] else stop.end()
+            else:
+                yield kind, name, attributes, j
+        elif page.startswith("<!--", j):
+            k = page.find("-->", j + 2)
+            i = n if k < 0 else k + 3
+        elif page.startswith("<![CDATA[", j):
+            i = j + 9
+        elif page[j + 1 : j + 2] in ("!", "?"):
+            i = page.find(">", j) + 1
+        else:
+            yield "<", "", "", 0
+            i = j + 1
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     """(text, words, link density, region, heading) of the text blocks, in page order."""
     out: list[tuple[str, int, float, int, int]] = []
-    stack: list[tuple[str, int]] = []
-    region, links, heading, hidden, seen = NEITHER, 0, 0, 0, False
+    stack: list[tuple[str, int, bool]] = []  # name, region around it, whether it hides what it has
+    level: list[int] = []  # places of block elements in the stack
+    opened: dict[str, int] = {}  # by name, how many are open
+    region, hidden, headings, seen = NEITHER, 0, 0, False
+    last_end: dict[str, int] = {}
+    lower = page.lower()
     parts: list[str] = []
     linked: list[str] = []
 
@@ -216,64 +287,70 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             words = html.unescape("".join(parts)).split()
             if words:
                 n = len(html.unescape("".join(linked)).split())
-                out.append((" ".join(words), len(words), min(1.0, n / len(words)), min(region, IN_FURNITURE), heading))
+                out.append((" ".join(words), len(words), min(1.0, n / len(words)), region, int(headings > 0)))
             parts.clear()
             linked.clear()
 
-    for m in TOKEN.finditer(page):
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            if hidden and stack[-1][0] == "head" and not token.isspace():
-                region = stack.pop()[1]
-                hidden = 0
-            if not hidden:
-                parts.append(token)
-                if links:
-                    linked.append(token)
-            continue
-        name = (m[3] or m[6] or "").lower()
+    def close(at: int) -> None:
+        """Ends the elements of the stack from a place on."""
+        nonlocal region, hidden, headings
+        region = stack[at][1]
+        while len(stack) > at:
+            name, _, hides = stack.pop()
+            opened[name] -= 1
+            hidden -= hides
+            headings -= name in HEADING
+        while level and level[-1] >= at:
+            level.pop()
+
+    for kind, name, attributes, place in tokens(page):
         if not name:
+            if hidden and stack[-1][0] == "head" and not kind.isspace():
+                close(len(stack) - 1)
+            if not hidden:
+                parts.append(kind)
+                if opened.get("a"):
+                    linked.append(kind)
             continue
-        if stack and stack[-1][0] == "head" and not (m[2] or m[5]) and name not in HEAD_TAGS:
-            region = stack.pop()[1]
-            hidden = sum(1 for x in stack if x[0] in HIDDEN)
-        if m[2] or m[5]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if at < 0:
+        if stack and stack[-1][0] == "head" and kind != "</" and name not in HEAD_TAGS:
+            close(len(stack) - 1)
+        if kind == "</":
+            if not opened.get(name):
                 if name == "p":
                     flush()
                 continue
             if name in BLOCK:
                 flush()
-            del stack[at + 1 :]
-            region = stack.pop()[1]
+            at = len(stack) - 1
+            while stack[at][0] != name:
+                at -= 1
+            close(at)
         elif name == "br":
             parts.append(" ")
             linked.append(" ")
-            continue
         elif name in VOID:
             if name == "hr":
                 flush()
-            continue
         else:
             if name in BLOCK:
                 flush()
                 # a paragraph or list item that was left open ends here
-                if stack and stack[-1][0] != name or name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == "p" or stack[i][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                            region = stack[i][1]
-                            del stack[i:]
-                            break
-                        if stack[i][0] in BLOCK:
-                            break
-            if not (m[4] or m[7] or "").rstrip().endswith("/"):
-                stack.append((name, region))
-                region = _region(name, m[4] or m[7] or "", region, seen)
+                if level and (stack[level[-1]][0] == "p" or stack[level[-1]][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                    close(level[-1])
+            if kind == "<":
+                hides = name in HIDDEN
+                if hides and name != "head":  # one that is never closed hides nothing
+                    if name not in last_end:
+                        last_end[name] = lower.rfind(f"</{name}")
+                    hides = place < last_end[name]
+                if name in BLOCK:
+                    level.append(len(stack))
+                stack.append((name, region, hides))
+                opened[name] = opened.get(name, 0) + 1
+                hidden += hides
+                headings += name in HEADING
+                region = _region(name, attributes, region, seen)
                 seen = seen or region == IN_ARTICLE
-        links = sum(1 for x in stack if x[0] == "a")
-        heading = int(any(x[0] in HEADING for x in stack))
-        hidden = sum(1 for x in stack if x[0] in HIDDEN)
     flush()
     return out
 
@@ -282,7 +359,12 @@ def main_text(page: str | None, tree: tuple | float) -> str:
     found = blocks(page or "")
     edge = ("", 0, 0.0, 0, 0)
     around = [edge, *found, edge]
-    return " ".join(b[0] for a, b, c in zip(around, around[1:], around[2:], strict=False) if kept(tree, (b[1], b[2], a[1], a[2], c[1], c[2], b[3], b[4])))
+
+    def chosen(regions: dict[int, int]) -> list[str]:
+        return [b[0] for a, b, c in zip(around, around[1:], around[2:], strict=False) if kept(tree, (b[1], b[2], a[1], a[2], c[1], c[2], regions.get(b[3], b[3]), b[4]))]
+
+    out = chosen({IN_WORDS: IN_FURNITURE, IN_FORM: IN_FURNITURE})
+    return " ".join(out or chosen({IN_WORDS: NEITHER, IN_FORM: NEITHER}))
 
 
 def extracted(pages: DataFrame, tree: tuple | float | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 
@@ -21,6 +22,35 @@ def test_main_text():
     assert html_extract.main_text(None, tree) == html_extract.main_text("", tree) == html_extract.main_text("<p", tree) == ""
 
 
+LONG = "This sentence is a part of the text that a reader came for, and it goes on for a while. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>x</title><body><article><p>{LONG}</article>",
+        f"<html><head><title>x<body><article><p>{LONG}</article>",
+        f"<title>x</title><div class='message'><p>{LONG}</p></div>",
+        f"<form class='widget'><p>{LONG}</p></form>",
+        f"<body><object data=x><div><p>{LONG}</p></div>",
+        f"<body><noscript><p>{LONG}</p>",
+        f"<body><p title=it's>{LONG}</p><p class=don't>",
+        f"<div id=wrap><div class=col><p>{LONG}<p></div></div><div class=menu><a href=1>One</a> <a href=2>Two</a></div>",
+        f"<script>var a = 1;<body><div><p>{LONG}</p></div>",
+    ],
+)
+def test_malformed_and_ambiguous_pages(page):
+    assert html_extract.main_text(page, html_extract.default_tree()) == LONG.strip()
+
+
+@pytest.mark.parametrize("part", ["<b>", "<div>", "<b><div></div>", "<a ", "<a '", "<", "<title>", "<a b='\"><p>", "</p>", "<!--", "<script>", "<li><b>", "<x\">"])
+def test_time_is_linear_in_the_page(part):
+    page = "<b>" * 30_000 + part * 100_000 + ">" + LONG
+    started = time.process_time()
+    html_extract.main_text(page, html_extract.default_tree())
+    assert time.process_time() - started < 4
+
+
 def test_tree_fits_its_table():
     table = [list(map(float, x.split())) for x in html_extract.BLOCKS.strip().splitlines()]
     tree = html_extract.default_tree()
@@ -36,7 +66,7 @@ def test_pages(spark):
     for r in got:
         article = re.search(r"<article>(.*)</article>", raw[r.page_id], re.S)[1]
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article)).split()) and r.n_chars == len(r.text)
-    odd = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", PAGE), (2, "u", PAGE), (3, "u", "<p>" + "word " * 200_000)], "page_id long, url string, html string").selectExpr("*", "1 as text")
+    odd = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", PAGE), (2, "u", PAGE), (3, "u", "<p>" + "word " * 200_000)], "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars", "3 as words", "4 as region")
     assert [r.n_chars for r in html_extract.extracted(odd).orderBy("page_id", "n_chars").collect()] == [0, 0, 72, 72, 999_999]
     assert html_extract.extracted(odd.limit(0)).count() == 0
 
