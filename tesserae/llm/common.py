@@ -62,6 +62,17 @@ def discard(df: DataFrame) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def met_by(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """left with the columns of right, which has one row for each value of key and the number of left's total rows that have it.
+
+    The values of more than 1/4096 of the rows, so fewer than 4096, are broadcast: no task gets all rows of
+    one of them. The others meet by a join of their own. Rows of left without a partner go.
+    """
+    hot = F.col(count) > max(total >> 12, 1 << 12)
+    many = F.broadcast(right.where(hot))
+    return left.join(many, key).unionByName(left.join(many.select(key), key, "left_anti").join(right.where(~hot), key))
+
+
 def remainder(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n

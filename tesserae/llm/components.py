@@ -11,15 +11,26 @@ from .common import discard, stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of edges (a, b), both long; label: the least node of the component.
 
-    Every round, each node goes to the least of itself and its neighbours, and the edges follow;
-    those inside a node and those that repeat vanish, so that the rounds grow with the logarithm of
-    a component and the rows shrink from round to round. Each round's edges and labels are written
-    to the shared folder; only whether an edge is left reaches the driver.
+    Every round, each node points to the least of itself and its neighbours; pointers are doubled until
+    all lead to roots (a chain of n nodes takes log2 n doublings), and the edges follow to the roots.
+    Those inside a root and those that repeat vanish, and at least half of the nodes with edges do, so
+    that the rounds grow with the logarithm of the nodes and the rows shrink from round to round.
+    Each table of a round is written to the shared folder; only whether a pointer moved or an edge is
+    left reaches the driver. The edges of a node of very many neighbours meet its pointer in a sort-merge
+    join, whose large partitions adaptive execution splits.
     """
     rest = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "edges")
     labels = None
     while rest.limit(1).count():
         up = stored(rest.groupBy("a").agg(F.least("a", F.min("b")).alias("up")), "up")
+        moved = True
+        while moved:
+            above = up.select(F.col("a").alias("node"), F.col("up").alias("next"))
+            far = stored(up.join(above, F.col("up") == F.col("node")).select("a", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "up")
+            moved = far.where("moved").limit(1).count() > 0
+            discard(up)
+            up = far
+        up = up.select("a", "up")
         if labels is None:
             after = stored(up.select(F.col("a").alias("node"), F.col("up").alias("label")), "labels")
         else:
@@ -29,8 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
         two = one.join(up.withColumnsRenamed({"a": "b", "up": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         fewer = stored(two.where("a != b").distinct(), "edges")
         discard(rest)
-        discard(up)
+        discard(far)
         labels, rest = after, fewer
     if labels is None:
-        return rest.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        empty = rest.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        empty._tesserae_path = rest._tesserae_path
+        return empty
+    discard(rest)
     return labels

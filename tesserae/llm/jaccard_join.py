@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, lists, long_view, mixed, span_hashes, stored, text_blocks, windows_of, words_of
+from .common import WORD, discard, lists, long_view, met_by, mixed, span_hashes, stored, text_blocks, windows_of, words_of
 from .components import components
 
-N, HASHES, STEP, TOLERANCE, BLOCK = 5, 128, 16, 1e-7, 256
+N, HASHES, STEP, TOLERANCE, BLOCK, FEW = 5, 128, 16, 1e-7, 256, 1 << 20
 #: Similarity as a fraction: 4/5.
 OVER, UNDER = 4, 5
 _seeds = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * WORD)
@@ -249,25 +249,39 @@ def sketched(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_sketches, "doc_id long, text_key long, set_id long, n_grams int, signature array<long>"), "sketches")
 
 
-def links(docs: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(set_id, links, others, roots): exact links of each class that has any. rows: sketched(docs)."""
-    classes = rows.where("n_grams > 0").groupBy("set_id").agg(F.any_value("signature").alias("signature"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"))
+def links(docs: DataFrame, rows: DataFrame, block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """(set_id, links, others, roots): exact links of each class that has any. rows: sketched(docs).
+
+    One document of each set that has candidates is chosen before texts are fetched: by a broadcast of the
+    chosen ids where they are at most few, else by a join. Either gives the same rows.
+    """
+    place = F.struct("text_key", "doc_id")
+    classes = rows.where("n_grams > 0").groupBy("set_id").agg(F.any_value("signature").alias("signature"), F.count("*").alias("copies"), F.min(place).alias("place"))
     classes = stored(classes, "classes")
     members = classes.select("set_id", F.posexplode("signature").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "set_id")
-    sizes = members.groupBy("bucket").count().where("count > 1")
+    n_classes = classes.count()
+    sizes = stored(members.groupBy("bucket").count().where("count > 1"), "buckets")
     first = classes.select("set_id", F.slice("signature", 1, HASHES // 8).alias("values"))
-    met = _blocked(members.join(sizes, "bucket"), "bucket", "count", block).join(first, "set_id")
+    met = _blocked(met_by(members, sizes, "bucket", "count", n_classes * HASHES // 4), "bucket", "count", block).join(first, "set_id")
     place = ["bucket", "low", "high"]
     edges = met.select(*place, "side", "set_id", "values").repartition(*place).sortWithinPartitions(*place).mapInArrow(_linked, "a long, b long").distinct()
-    group = components(edges).select(F.col("node").alias("set_id"), F.col("label").alias("grp"))
-    wanted = group.join(group.groupBy("grp").count(), "grp").join(classes.select("set_id", "copies", "text_key"), "set_id")
-    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    texts = keyed.join(wanted.select("text_key", "set_id"), "text_key").dropDuplicates(["set_id"])
+    labels = components(edges)
+    group = labels.select(F.col("node").alias("set_id"), F.col("label").alias("grp"))
+    counted = met_by(group, group.groupBy("grp").count(), "grp", "count", n_classes)
+    wanted = stored(counted.join(classes.select("set_id", "copies", "place"), "set_id"), "wanted")
+    chosen = wanted.select("set_id", "place.text_key", F.col("place.doc_id").alias("id"))
+    if wanted.count() <= few:
+        chosen = F.broadcast(chosen)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    texts = keyed.join(chosen, (keyed.text_key == chosen.text_key) & keyed.doc_id.eqNullSafe(chosen.id)).dropDuplicates(["set_id"])
     sets = texts.select("set_id", "text").mapInArrow(_gram_lists, "set_id long, grams array<long>")
     place = ["grp", "low", "high"]
     full = _blocked(wanted.join(sets, "set_id"), "grp", "count", block).select(*place, "side", "set_id", "copies", "grams")
     out = full.repartition(*place).sortWithinPartitions(*place).mapInArrow(_verified, "set_id long, links long, others long, root long")
-    return stored(out.groupBy("set_id").agg(F.sum("links").alias("links"), F.sum("others").alias("others"), F.collect_set("root").alias("roots")), "links")
+    out = stored(out.groupBy("set_id").agg(F.sum("links").alias("links"), F.sum("others").alias("others"), F.collect_set("root").alias("roots")), "links")
+    for table in (classes, sizes, labels, wanted):
+        discard(table)
+    return out
 
 
 def _gram_lists(batches):
@@ -276,25 +290,26 @@ def _gram_lists(batches):
         yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("set_id")), lists(long_view(h), rows, len(offsets) - 1, pa.int64())], ["set_id", "grams"])
 
 
-def joined(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def joined(docs: DataFrame, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """One row per document: doc_id, text_key, class_id (least doc_id of all that links and copies connect), set_id (texts of
     equal gram sets), n_links (other documents at or over the threshold), n_set_links (other gram sets), n_grams, first
     (whether it is the document of its class that stays)."""
     rows = sketched(docs)
-    found = links(docs, rows, block)
+    found = links(docs, rows, block, few)
     groups = components(found.select(F.col("set_id").alias("a"), F.explode("roots").alias("b"))).select(F.col("node").alias("set_id"), "label")
-    full = rows.drop("signature").join(found.drop("roots"), "set_id", "left").join(groups, "set_id", "left")
     alone = F.col("n_grams") == 0
-    full = full.withColumn("label", F.coalesce("label", "set_id"))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    copies = rows.where("n_grams > 0").groupBy("set_id").agg(F.count("*").alias("copies"))
-    least = full.where(~alone).groupBy("label").agg(F.min(who).alias("who"))
-    out = full.join(copies, "set_id", "left").join(least, "label", "left")
-    return out.select(
-        "doc_id", "text_key", F.when(alone, F.col("doc_id")).otherwise(F.col("who.doc_id")).alias("class_id"), "set_id",
-        (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_set_links"), "n_grams",
-        (alone | F.col("who").eqNullSafe(who)).alias("first"),
-    )
+    sets = rows.where(~alone).groupBy("set_id").agg(F.count("*").alias("copies"), F.min(who).alias("least"))
+    sets = sets.join(found.drop("roots"), "set_id", "left").join(groups, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    sets = stored(sets, "sets")
+    classes = sets.groupBy("label").agg(F.count("*").alias("members"), F.min("least").alias("who"))
+    named = met_by(sets, classes, "label", "members", sets.count())
+    named = stored(named.select("set_id", "copies", "who", "links", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "sets")
+    discard(sets)
+    slim = rows.select("doc_id", "text_key", "set_id", "n_grams")
+    out = met_by(slim.where(~alone), named, "set_id", "copies", rows.count())
+    linked = out.select("doc_id", "text_key", F.col("who.doc_id").alias("class_id"), "set_id", "n_links", F.coalesce("links", F.lit(0)).alias("n_set_links"), "n_grams", F.col("who").eqNullSafe(who).alias("first"))
+    return linked.unionByName(slim.where(alone).select("doc_id", "text_key", F.col("doc_id").alias("class_id"), "set_id", F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_set_links"), "n_grams", F.lit(True).alias("first")))
 
 
 def thinned(docs: DataFrame) -> DataFrame:

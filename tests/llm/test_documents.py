@@ -53,8 +53,8 @@ def brute_jaccard(rows):
     return [[j for j, b in enumerate(sets) if j != i and a and b and len(a & b) * 5 >= len(a | b) * 4] for i, a in enumerate(sets)]
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_jaccard_join_against_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "few"), [(256, 1 << 20), (3, 0)])
+def test_jaccard_join_against_all_pairs(spark, block, few):
     rng = random.Random(4)
     rows = []
     for g in range(12):
@@ -63,7 +63,7 @@ def test_jaccard_join_against_all_pairs(spark, block):
             words = [f"e{rng.randint(0, 99)}" if rng.random() < rng.choice([0, 0.01, 0.03]) else w for w in base]
             rows.append((len(rows), " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in jaccard_join.joined(docs, block).collect()}
+    got = {r.doc_id: r for r in jaccard_join.joined(docs, block, few).collect()}
     links = brute_jaccard(rows)
     label = list(range(len(rows)))
     for _ in rows:
@@ -87,6 +87,28 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    from tesserae.llm import components as module
+
+    tables, real = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda frame, tag: tables.append(tag) or real(frame, tag))
+    chain = spark.range(999).selectExpr("id as a", "id + 1 as b").union(spark.range(200).selectExpr("5000L as a", "5001 + id as b"))
+    got = {r.node: r.label for r in components(chain).collect()}
+    assert got == dict.fromkeys(range(1000), 0) | dict.fromkeys(range(5000, 5201), 5000)
+    assert tables.count("edges") <= 3 and tables.count("up") <= 15
+
+
+def test_hot_keys_meet_the_same_rows(spark):
+    from tesserae.llm.common import met_by
+
+    left = spark.range(6000).selectExpr("if(id % 3 > 0, 7, id) as key", "id")
+    right = left.groupBy("key").count()
+    got = met_by(left, right, "key", "count", 6000)
+    assert got.count() == 6000 and got.where("count = 4000").count() == 4000 and "Broadcast" in got._jdf.queryExecution().toString()
+    hot = spark.range(30000).selectExpr("if(id % 3 > 0, 7, id) as key", "id")
+    assert met_by(hot, hot.groupBy("key").count(), "key", "count", 30000).where("count = 20000").count() == 20000
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(500):
