@@ -11,8 +11,8 @@ from .common import discard, stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of edges (a, b), both long; label: the least node of the component.
 
-    Every round, each node points to the least of itself and its neighbours; pointers are doubled until
-    all lead to roots (a chain of n nodes takes log2 n doublings), and the edges follow to the roots.
+    Every round, each node points to the least of itself and its neighbours; pointers are followed twice, again
+    and again, until all lead to roots (a chain of n nodes takes log3 n steps), and the edges follow to the roots.
     Those inside a root and those that repeat vanish, and at least half of the nodes with edges do, so
     that the rounds grow with the logarithm of the nodes and the rows shrink from round to round.
     Each table of a round is written to the shared folder; only whether a pointer moved or an edge is
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         moved = True
         while moved:
             above = up.select(F.col("a").alias("node"), F.col("up").alias("next"))
-            far = stored(up.join(above, F.col("up") == F.col("node")).select("a", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "up")
+            twice = up.join(above, F.col("up") == F.col("node")).select("a", F.col("next").alias("up"))
+            far = stored(twice.join(above, F.col("up") == F.col("node")).select("a", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "up")
             moved = far.where("moved").limit(1).count() > 0
             discard(up)
             up = far

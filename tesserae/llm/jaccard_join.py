@@ -314,11 +314,13 @@ def joined(docs: DataFrame, block: int = BLOCK, few: int = FEW) -> DataFrame:
 
 def thinned(docs: DataFrame) -> DataFrame:
     """One document of each class (doc_id, text, lang, source, n_chars): that of the least id, one of rows that repeat. Texts without a word all stay."""
-    keep = joined(docs).where("first").select(F.col("doc_id").alias("keep_id"), "text_key").distinct()
+    ids = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_key"]
+    place = ["id", "no_id", "text_key"]
+    keep = joined(docs).where("first").select(*ids)
     wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     keyed = docs.select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.when(wordless, F.monotonically_increasing_id()).otherwise(-1).alias("row"))
-    met = keyed.join(keep, keyed.doc_id.eqNullSafe(keep.keep_id) & (keyed.text_key == keep.text_key), "left_semi")
-    return met.dropDuplicates(["doc_id", "text_key", "row"]).drop("text_key", "row")
+    met = keyed.select("*", *ids[:2]).join(keep, place, "left_semi")
+    return met.dropDuplicates([*place, "row"]).drop(*place, "row")  # rows that repeat lie where the join has put them
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
