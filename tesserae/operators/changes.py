@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,11 +55,6 @@ def remove(files: DataFrame, paths: list[str]) -> DataFrame:
     return files
 
 
-def orphans(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """The chunks of files that there still are."""
-    return chunks.join(files.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(chunks.columns)
-
-
 def rename(files: DataFrame, old: str, new: str) -> DataFrame:
     """Moves a file or all under a folder; what was at the new path goes; ids, and so all texts, stay."""
     moved = F.when(under("path", old), F.concat(F.lit(new), F.substring("path", F.lit(len(old) + 1), F.length("path")))).otherwise(F.col("path"))
@@ -69,22 +67,63 @@ def last_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.max_by(F.struct(*rest), "seq").alias("x")).select("path", "x.*")
 
 
+def ancestors(path: str) -> Column:
+    """A path and the folders that it lies in."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
 def apply(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """The table after a batch of changes (seq, op, path, kind, mtime, size): of each path the last one counts, and applying twice changes nothing."""
+    """The table after a batch of changes (seq, op, path, kind, mtime, size): of each path the last one counts, and applying twice changes nothing.
+
+    A delete takes all that was under the path then. Paths meet the deletes above them by equality, folder by folder.
+    """
     last = last_changes(changes)
-    gone = last.where("op = 'delete'").select("path")
-    return upsert(files, last.where("op in ('insert', 'update')")).join(gone, "path", "left_anti").select(*files.columns)
+    gone = changes.where("op = 'delete'").groupBy(F.col("path").alias("above")).agg(F.max("seq").alias("gone_at"))
+    paths = files.select("path").unionByName(last.select("path"))
+    hit = paths.select("path", F.explode(ancestors("path")).alias("above")).join(gone, "above").groupBy("path").agg(F.max("gone_at").alias("gone_at"))
+    put = last.join(hit, "path", "left").where("op in ('insert', 'update') and (gone_at is null or gone_at < seq)").drop("gone_at")
+    return upsert(files, put).join(hit.join(put, "path", "left_anti"), "path", "left_anti").select(*files.columns)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the folder that the session names for checkpoints; in one of its own where none is named."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        own = "file:" + tempfile.mkdtemp(prefix="tesserae-checkpoints-") if context.master.startswith("local[") else f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/tesserae-checkpoints"
+        context.setCheckpointDir(named or own)
+    return df.checkpoint()
+
+
+def replay(files: DataFrame, batch: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+    """The table after a batch of changes and renames (seq, op, path, old_path, kind, mtime, size), in the order of seq.
+
+    Renames, which are user actions and few, reach the driver; the changes between two of them are applied
+    together. As each step reads the table several times, cut() ends its lineage between two of them.
+    """
+    renames = batch.where("op = 'rename'").orderBy("seq").select("seq", "old_path", "path").collect()
+    rest = batch.where("op <> 'rename'").drop("old_path")
+    before = F.size(F.filter(F.lit([r.seq for r in renames]), lambda x: x < F.col("seq"))) if renames else F.lit(0)
+    rest = rest.withColumn("epoch", before)
+    epochs = {r.epoch for r in rest.select("epoch").distinct().collect()}
+    for k in range(len(renames) + 1):
+        if k in epochs:
+            files = apply(files, rest.where(F.col("epoch") == k).drop("epoch"))
+            files = cut(files) if k < max(epochs) else files
+        if k < len(renames):
+            files = rename(files, renames[k].old_path, renames[k].path)
+    return files
 
 
-def replace_chunks(chunks: DataFrame, files: DataFrame, done: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, chunks) after extraction jobs done (id, mtime, size, status, error) gave new chunks; jobs whose file changed meanwhile are void."""
+def replace_chunks(files: DataFrame, done: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, ids, chunks) after extraction jobs done (id, mtime, size, status, error) gave new chunks: the files whose chunks they replace, and these.
+    Jobs whose file changed meanwhile are void."""
     valid = done.join(files.select("id", "mtime", "size"), ["id", "mtime", "size"], "left_semi")
-    ids = valid.select(F.col("id").alias("file_id"))
-    kept = chunks.join(ids, "file_id", "left_anti").select(chunks.columns)
-    taken = new.where("page >= 0 and page < 1048576").join(ids, "file_id", "left_semi").select(chunks.columns)
+    taken = new.where("page >= 0 and page < 1048576").join(valid.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(new.columns)
     state = valid.select("id", F.col("status").alias("s"), F.col("error").alias("e"))
     after = files.join(state, "id", "left").withColumn("status", F.coalesce("s", "status")).withColumn("error", F.coalesce("e", "error")).select(files.columns)
-    return after, kept.unionByName(taken)
+    return after, valid.select("id"), taken
 
 
 def status_counts(files: DataFrame) -> DataFrame:

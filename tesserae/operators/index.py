@@ -27,6 +27,12 @@ def doc_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select("rowid", sum((F.size(tokens(F.coalesce(c, F.lit("")))) for c in COLUMNS), F.lit(0)).cast("long").alias("len"))
 
 
+def file_sizes(chunks: DataFrame) -> DataFrame:
+    """(file_id, n, len): chunks and tokens of each file; the corpus statistics are their sums."""
+    sizes = sum((F.size(tokens(F.coalesce(c, F.lit("")))) for c in COLUMNS), F.lit(0)).cast("long")
+    return chunks.groupBy("file_id").agg(F.count("*").alias("n"), F.sum(sizes).alias("len"))
+
+
 def corpus_stats(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("len"), F.lit(0)).alias("total_tokens"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, holds, lower_ascii, url_index
@@ -163,15 +163,31 @@ def hits(index: Index, query: Query, now_ms: int, scope: list[str] | None = None
     return met.where(filters(query, scope)).select("rowid", "path", "kind", recency(F.col("score"), F.col("mtime"), now_ms).alias("score"))
 
 
-def results(index: Index, query: Query, now_ms: int, scope: list[str] | None = None, limit: int = DEFAULT_LIMIT, snippets: bool = True) -> DataFrame:
-    """(place, path, kind, page, line, source, snippet, score, urlIdx, rowid): texts are fetched for the final rows only."""
+def _shown(top: DataFrame, texts: DataFrame, query: Query, snippets: bool) -> DataFrame:
+    """Results from the rows of ranked() and the chunks (rowid, title, source, body)."""
     from ..operators.snippet import snippet_udf
 
-    limit = policy(limit)
-    top = ranked(hits(index, query, now_ms, scope), limit)
-    texts = index.chunks.select("rowid", "title", "source", "body" if snippets else F.lit("").alias("body"))
     met = F.broadcast(top).join(texts, "rowid")  # at most limit rows, which is at most 200
     page, line = decoded(F.col("kind"), slot_of())
     found, _ = probes(query)
-    body = snippet_udf(found[: len(found)])(F.col("body")) if snippets else F.lit("")
+    body = snippet_udf(found)(F.col("body")) if snippets else F.lit("")
     return met.select("place", "path", "kind", page.cast("int").alias("page"), line.cast("int").alias("line"), "source", body.alias("snippet"), "score", url_index("title").alias("urlIdx"), "rowid").orderBy("place")
+
+
+def results(index: Index, query: Query, now_ms: int, scope: list[str] | None = None, limit: int = DEFAULT_LIMIT, snippets: bool = True) -> DataFrame:
+    """(place, path, kind, page, line, source, snippet, score, urlIdx, rowid): one lazy plan; texts are fetched for the final rows only."""
+    texts = index.chunks.select("rowid", "title", "source", "body" if snippets else F.lit("").alias("body"))
+    return _shown(ranked(hits(index, query, now_ms, scope), policy(limit)), texts, query, snippets)
+
+
+def best(index: Index, query: Query, now_ms: int, scope: list[str] | None = None, limit: int = DEFAULT_LIMIT) -> list[Row]:
+    """The rows of ranked(), at most 200, on the driver."""
+    return ranked(hits(index, query, now_ms, scope), policy(limit)).select("place", "path", "kind", "score", "rowid").orderBy("place").collect()
+
+
+def fetched(index: Index, query: Query, top: list[Row]) -> DataFrame:
+    """The same as results(), for rows of best(): their ids reach the scan of the chunks, which lie in order of them, as values to look for."""
+    spark = index.chunks.sparkSession
+    wanted = reduce(lambda a, b: a | b, [F.col("rowid") == r.rowid for r in top], F.lit(False))
+    texts = index.chunks.where(wanted).select("rowid", "title", "source", "body")
+    return _shown(spark.createDataFrame([tuple(r) for r in top], "place int, path string, kind string, score double, rowid bigint"), texts, query, True)

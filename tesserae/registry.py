@@ -389,6 +389,44 @@ def _apply(spark, sf_dir):
     return changes.apply(spark.sql(OLD), spark.sql(FEED)).select("path", "mtime", "status")
 
 
+def _replayed(steps: list[tuple[str, str]]) -> str:
+    """SQL for changes and renames in turn: (condition on seq, or the old path; "" or the new path) each. Ends in paths with their times."""
+    parts, last = [f"s0 AS (SELECT path, mtime FROM ({OLD}))"], 0
+    for k, (a, b) in enumerate(steps, 1):
+        if b:
+            parts.append(f"s{k} AS (SELECT CASE WHEN path = '{a}' OR starts_with(path, '{a}/') THEN '{b}' || path[{len(a) + 1}:] ELSE path END AS path, mtime FROM s{last} WHERE NOT (path = '{b}' OR starts_with(path, '{b}/')) OR path = '{a}' OR starts_with(path, '{a}/'))")
+        else:
+            parts.append(f"l{k} AS (SELECT path, arg_max(op, seq) AS op, arg_max(mtime, seq) AS mtime FROM ({FEED}) WHERE {a} GROUP BY path)")
+            parts.append(f"s{k} AS (SELECT coalesce(l.path, o.path) AS path, coalesce(l.mtime, o.mtime) AS mtime FROM l{k} l FULL JOIN s{last} o ON l.path = o.path WHERE l.op IS DISTINCT FROM 'delete')")
+        last = k
+    return f"WITH {', '.join(parts)} SELECT path, mtime FROM s{last}"
+
+
+RENAMES = [(300, "n/3", "m/q"), (301, "n/5/5.md", "n/6/6.md"), (700, "m/q", "n/4")]
+
+
+@query("feed_rename_order", _replayed([("seq < 300", ""), ("n/3", "m/q"), ("seq = 300", ""), ("n/5/5.md", "n/6/6.md"), ("seq > 300 AND seq < 700", ""), ("m/q", "n/4"), ("seq >= 700", "")]))
+def _rename_order(spark, sf_dir):
+    """Changes and renames in one batch, in the order of seq; a rename comes before the change of the same number."""
+    _views(spark, sf_dir, "documents", "events")
+    feed = spark.sql(f"SELECT seq * 2 + 1 AS seq, op, path, CAST(NULL AS STRING) AS old_path, kind, mtime, size FROM ({FEED})")
+    renames = spark.createDataFrame([(s * 2, "rename", new, old, "", 0, 0) for s, old, new in RENAMES], feed.schema)
+    return changes.replay(spark.sql(OLD), feed.unionByName(renames)).select("path", "mtime")
+
+
+@query(
+    "feed_folder_delete",
+    f"""WITH l AS (SELECT path, arg_max(op, seq) AS op, arg_max(mtime, seq) AS mtime, max(seq) AS seq FROM ({FEED}) GROUP BY path), gone(folder, until) AS (VALUES ('n/3', 400), ('n/5', 900), ('n/7/7.md', 500)),
+    b AS (SELECT coalesce(l.path, o.path) AS path, coalesce(l.mtime, o.mtime) AS mtime, coalesce(l.op, 'old') AS op, coalesce(l.seq, -1) AS seq FROM l FULL JOIN ({OLD}) o ON l.path = o.path)
+    SELECT path, mtime FROM b WHERE op <> 'delete' AND NOT EXISTS (SELECT 1 FROM gone WHERE (b.path = folder OR starts_with(b.path, folder || '/')) AND until > b.seq)""",
+)
+def _folder_delete(spark, sf_dir):
+    """A delete of a folder takes what is in it then, and not what comes later."""
+    _views(spark, sf_dir, "documents", "events")
+    feed = spark.sql(f"SELECT seq * 2 AS seq, op, path, kind, mtime, size FROM ({FEED}) UNION ALL SELECT until * 2 - 1, 'delete', folder, NULL, NULL, NULL FROM VALUES ('n/3', 400), ('n/5', 900), ('n/7/7.md', 500) AS g(folder, until)")
+    return changes.apply(spark.sql(OLD), feed).select("path", "mtime")
+
+
 @query("subtree_delete", f"SELECT id, path FROM ({OLD}) WHERE NOT (path = 'n/3' OR starts_with(path, 'n/3/') OR path = 'n/1/1.md' OR starts_with(path, 'n/1/1.md/'))")
 def _delete(spark, sf_dir):
     return changes.remove(_old(spark, sf_dir), ["n/3", "n/1/1.md"]).select("id", "path")

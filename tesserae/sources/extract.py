@@ -7,18 +7,19 @@ import re
 import shutil
 import subprocess
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import kind_of
+from ..functions.text import TESSERACT, kind_of
 from ..model import MAX_BYTES, PAGE
+from . import remote
 
 # Elements that end a line, by local name; entries of office files; RTF destinations without body text.
 BREAKS = frozenset("p si br tab div li tr td th h1 h2 h3 h4 h5 h6 text title".split())
@@ -39,11 +40,38 @@ class Backend:
     speech: Callable[[bytes], str] | None = None
     legacy: Callable[[bytes], str] | None = None
     fetch: Callable[[str], bytes] | None = None
+    #: Like ocr, for a reader that takes recognition languages too, and the setting that these come from.
+    ocr_in: Callable[[bytes, str], str] | None = None
+    languages: str = "en-US"
+
+    def image(self) -> Callable[[bytes], str] | None:
+        """The reader of images."""
+        if self.ocr_in:
+            return lambda content: self.ocr_in(content, recognition_codes(self.languages))
+        return self.ocr
+
+
+#: Seconds for which a tool counts as found or missing.
+LOOK_AGAIN = 60.0
+_tools: dict[tuple[str, ...], tuple[float, str | None]] = {}
 
 
-@cache
 def tool(*names: str) -> str | None:
-    return next((p for n in names if (p := shutil.which(n))), None)
+    """The path of the first of these programs that there is; looked for again after a minute, as it may have been installed."""
+    seen = _tools.get(names)
+    if seen is None or time.monotonic() - seen[0] > LOOK_AGAIN:
+        seen = _tools[names] = (time.monotonic(), next((p for n in names if (p := shutil.which(n))), None))
+    return seen[1]
+
+
+def recognition_codes(setting: str) -> str:
+    """The same as functions.text.recognition_languages, for one setting on its own."""
+    codes = []
+    for name in (setting.replace(" ", "") or "en-US").lower().split(","):
+        code = TESSERACT.get(name) or TESSERACT.get(name.split("-")[0])
+        if code and code not in codes:
+            codes.append(code)
+    return "+".join(codes) or "eng"
 
 
 def _run(command: list[str], content: bytes, suffix: str, timeout: int = 120) -> str:
@@ -53,18 +81,26 @@ def _run(command: list[str], content: bytes, suffix: str, timeout: int = 120) ->
         return subprocess.run([*command[:1], *(x.replace("{}", f.name) for x in command[1:])], capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
 
 
+def _legacy(content: bytes) -> str:
+    """Old office files by whichever reader there is."""
+    if word := tool("antiword"):
+        return _run([word, "-w", "0", "{}"], content, ".doc")
+    return _run([tool("catdoc"), "-w", "{}"], content, ".doc")
+
+
 def installed() -> Backend:
-    """A backend of the tools found on this machine; what is missing gives files with an error."""
-    pdf, ocr, doc = tool("pdftotext"), tool("tesseract"), tool("antiword")
+    """A backend of the tools found on this machine; what is missing gives files with an error. Remote images are fetched where they can be read."""
+    pdf, ocr, doc = tool("pdftotext"), tool("tesseract"), tool("antiword", "catdoc")
     return Backend(
         pdf=(lambda b: _run([pdf, "-q", "{}", "-"], b, ".pdf")) if pdf else None,
-        ocr=(lambda b: _run([ocr, "{}", "stdout"], b, ".png")) if ocr else None,
-        legacy=(lambda b: _run([doc, "-w", "0", "{}"], b, ".doc")) if doc else None,
+        ocr_in=(lambda b, codes: _run([ocr, "{}", "stdout", "-l", codes], b, ".png", 180)) if ocr else None,
+        legacy=_legacy if doc else None,
+        fetch=remote.fetch if ocr else None,
     )
 
 
 def missing_tools(kinds: set[str], backend: Backend) -> list[str]:
-    need = {"pdf": backend.pdf, "image": backend.ocr, "audio": backend.speech, "textutil": backend.legacy}
+    need = {"pdf": backend.pdf, "image": backend.image(), "audio": backend.speech, "textutil": backend.legacy}
     return sorted(k for k in kinds if k in need and need[k] is None)
 
 
@@ -163,7 +199,7 @@ def pages_of(path: str, kind: str, content: bytes, backend: Backend) -> list[tup
     if kind == "pdf":
         return [(i, "text", "", p) for i, p in pdf_pages(need(backend.pdf, "pdf")(content))]
     if kind == "image":
-        return [(0, "ocr", "", need(backend.ocr, "images")(content))]
+        return [(0, "ocr", "", need(backend.image(), "images")(content))]
     if kind == "audio":
         return [(0, "speech", "", " ".join(need(backend.speech, "audio")(content).split()))]
     if kind == "html":
@@ -212,7 +248,7 @@ def remote_texts(urls: DataFrame, memo: DataFrame, backend: Backend, partitions:
             out = []
             for url in part["url"]:
                 try:
-                    if body := backend.ocr(backend.fetch(url)).strip():
+                    if body := backend.image()(backend.fetch(url)).strip():
                         out.append((url, body))
                 except Exception:  # a dead link; the note keeps its other images
                     continue

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 class Snapshots:
-    """Tables under root/<version>/<name>; one writer, many readers. Any store that Spark writes will do."""
+    """Tables under root/<version>/<name>; one writer, many readers. Any store that Spark writes will do. Of each table the last keep versions stay."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -40,7 +42,27 @@ class Snapshots:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/v{v}/{name}")
         self._fs.create(self._path(f"{self.root}/done-{v}-{batch + 1}"), True).close()
+        self._prune(tables)
         return v
 
+    def _prune(self, names) -> None:
+        """Deletes older versions of these tables; readers of the last ones are not disturbed. Markers stay."""
+        for name in names:
+            paths = [self._path(f"{self.root}/v{v}/{name}") for v, _ in self._versions()]
+            for old in [p for p in paths if self._fs.exists(p)][: -self.keep]:
+                self._fs.delete(old, True)
+
+    def scratch(self, df: DataFrame) -> DataFrame:
+        """df, written beside the versions and read again."""
+        path = f"{self.root}/scratch/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear_scratch(self) -> None:
+        self._fs.delete(self._path(f"{self.root}/scratch"), True)
+
+    def has(self, name: str) -> bool:
+        return any(self._fs.exists(self._path(f"{self.root}/v{v}/{name}")) for v, _ in self._versions())
+
     def reset(self) -> None:
         self._fs.delete(self._path(self.root), True)
