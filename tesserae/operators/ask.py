@@ -12,6 +12,11 @@ from ..plans.query import parse
 from ..plans.search import Index, results
 
 
+def keywords(question: str) -> list[str]:
+    """The words that a question is searched by."""
+    return [t.text for t in parse(question).keywords(set(STOP_WORDS)).pos]
+
+
 def sources(index: Index, question: str, now_ms: int, scope: list[str] | None = None) -> DataFrame:
     """The best chunks for any keyword of the question; filters of the question hold, exclusions don't."""
     return results(index, parse(question).keywords(set(STOP_WORDS)), now_ms, scope, ASK_SOURCES, snippets=False)

@@ -137,6 +137,23 @@ def next_jobs(files: DataFrame, status: str, claimed: list[int], n: int = 1) ->
     return files.where((F.col("status") == status) & ~F.col("id").isin(*claimed) if claimed else F.col("status") == status).orderBy("id").limit(n)
 
 
+def claim(files: DataFrame, claims: DataFrame, status: str, worker: str, n: int = 1) -> DataFrame:
+    """The claims (id, worker) with the n oldest waiting files that nobody has claimed given to a worker; a claimed file is given to no other."""
+    free = files.where(F.col("status") == status).join(claims.select("id"), "id", "left_anti").orderBy("id").limit(n)
+    return claims.unionByName(free.select("id", F.lit(worker).alias("worker")))
+
+
+def release(claims: DataFrame, worker: str) -> DataFrame:
+    """The claims without those of a worker that is done or lost: its files can be claimed again."""
+    return claims.where(F.col("worker") != worker)
+
+
+def scope_of(embeds: DataFrame, note: str) -> DataFrame:
+    """(path): a note and all that it embeds. embeds: note, ord, dest."""
+    own = embeds.where(F.col("note") == note).select(F.col("dest").alias("path"))
+    return own.unionByName(embeds.sparkSession.createDataFrame([(note,)], "path string")).distinct()
+
+
 def requeue_media(files: DataFrame, old: str, new: str) -> DataFrame:
     """Images and audio wait again if the recognition settings changed."""
     return files if old == new else files.withColumn("status", F.when(F.col("kind").isin(*SLOW_KINDS), "ocr").otherwise(F.col("status")))

@@ -42,14 +42,26 @@ def similar(vocab: DataFrame, words: list[str]) -> dict[str, tuple[str, ...]]:
     return {w: tuple(r.term for r in sorted(rows, key=lambda r: r["rank"]) if r.word == w) for w in words}
 
 
+def exact_splits(vocab: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, a, b): the first split of each word into two halves of at least three letters that both begin indexed words.
+
+    Halves meet the vocabulary by their first three letters, all words in one plan.
+    """
+    cut = words.select("word", F.explode(F.sequence(F.lit(3), F.greatest(F.length("word") - 3, F.lit(2)))).alias("i")).where("i between 3 and length(word) - 3")
+    cut = cut.select("word", "i", F.substring("word", F.lit(1), F.col("i")).alias("a"), F.substring("word", F.col("i") + 1, F.length("word")).alias("b"))
+    halves = cut.select(F.explode(F.array("a", "b")).alias("half")).distinct().withColumn("p3", F.substring("half", 1, 3))
+    known = vocab.select("term", F.substring("term", 1, 3).alias("p3")).join(F.broadcast(halves), "p3").where(F.startswith("term", F.col("half"))).select("half").distinct()
+    both = cut.join(known.withColumnRenamed("half", "a"), "a").join(known.withColumnRenamed("half", "b"), "b")
+    return both.groupBy("word").agg(F.min_by(F.struct("a", "b"), "i").alias("x")).select("word", "x.a", "x.b")
+
+
 def splits(vocab: DataFrame, word: str) -> tuple[Term, Term] | None:
     """The first split into two halves of at least three letters that are both indexed, or else both near indexed words."""
+    if whole := exact_splits(vocab, vocab.sparkSession.createDataFrame([(word,)], "word string")).first():
+        return Term(whole.a), Term(whole.b)
     pairs = [(word[:i], word[i:]) for i in range(3, len(word) - 2)]
     halves = sorted({h for p in pairs for h in p})
     known = known_prefixes(vocab, halves)
-    for a, b in pairs:
-        if a in known and b in known:
-            return Term(a), Term(b)
     near = similar(vocab, [h for h in halves if h not in known])
     for a, b in pairs:
         if all(h in known or near[h] for h in (a, b)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import frontmatter_tags, heading, is_fence, is_heading, tags
+from ..functions.text import frontmatter_tags, heading, image_urls, is_fence, is_heading, tags
 
 
 def sections(notes: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -31,6 +31,14 @@ def sections(notes: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     return kept.select(F.col("key").alias(key), (F.col("start") + 1).alias("page"), title.alias("title"), body.alias("body"))
 
 
+def embed_lines(notes: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, i, url, line): the 0-based line at which a note first has its i-th distinct remote image."""
+    lines = notes.select(F.col(key).alias("key"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "words"))
+    each = lines.select("key", "line", F.posexplode(image_urls("words")).alias("at", "url"))
+    first = each.groupBy("key", "url").agg(F.min(F.struct("line", "at")).alias("first"))
+    return first.select(F.col("key").alias(key), (F.row_number().over(Window.partitionBy("key").orderBy("first")) - 1).alias("i"), "url", "first.line")
+
+
 def match_line(rows: DataFrame, word: str) -> DataFrame:
     """Adds match: the 0-based line at or after line of text that holds the word (any case), else line itself. rows: id, line, text."""
     lines = F.slice(F.split("text", "\n"), F.col("line") + 1, F.greatest(F.size(F.split("text", "\n")) - F.col("line"), F.lit(0)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .model import IN_KINDS, KINDS, STOP_WORDS
-from .operators import ask, changes, correct, index, sections
+from .operators import ask, changes, correct, index, migrate, sections
 from .plans import search
 from .plans.query import Probe, Query, parse
 from .sources import extract
@@ -185,15 +185,7 @@ COMPOUNDS = ["thatwith", "thatwit", "zzzzqqqq", "nichtsich", "withqqqqq"]
     SELECT word, word[1:min(i)] AS a, word[min(i) + 1:] AS b FROM ok GROUP BY word""",
 )
 def _compound(spark, sf_dir):
-    """The exact pass of compound splitting for several words as one plan: halves meet the vocabulary by their first three letters."""
-    words = spark.createDataFrame([(w,) for w in COMPOUNDS], "word string")
-    cut = words.select("word", F.explode(F.sequence(F.lit(3), F.length("word") - 3)).alias("i"))
-    cut = cut.select("word", "i", F.substring("word", F.lit(1), F.col("i")).alias("a"), F.substring("word", F.col("i") + 1, F.length("word")).alias("b"))
-    halves = cut.select(F.explode(F.array("a", "b")).alias("half")).distinct().withColumn("p3", F.substring("half", 1, 3))
-    vocab = indexed(spark, sf_dir).vocab.select("term", F.substring("term", 1, 3).alias("p3"))
-    known = vocab.join(F.broadcast(halves), "p3").where(F.startswith("term", F.col("half"))).select("half").distinct()
-    both = cut.join(known.withColumnRenamed("half", "a"), "a").join(known.withColumnRenamed("half", "b"), "b")
-    return both.groupBy("word").agg(F.min_by(F.struct("a", "b"), "i").alias("x")).select("word", "x.a", "x.b")
+    return correct.exact_splits(indexed(spark, sf_dir).vocab, spark.createDataFrame([(w,) for w in COMPOUNDS], "word string"))
 
 
 @query("search_corrected")
@@ -227,8 +219,7 @@ def _ask_prompt(spark, sf_dir):
 
 @query("ask_keywords", "SELECT w FROM (SELECT unnest(string_split('" + QUESTION + "', ' ')) AS w) WHERE len(w) > 3 AND lower(w) NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")")
 def _ask_keywords(spark, sf_dir):
-    words = spark.createDataFrame([(QUESTION,)], "q string").select(F.explode(F.split("q", " ")).alias("w"))
-    return words.where((F.length("w") > 3) & ~F.array_contains(F.array(*map(F.lit, STOP_WORDS)), F.lower("w")))
+    return spark.createDataFrame([(w,) for w in ask.keywords(QUESTION)], "w string")
 
 
 # ---- notes -----------------------------------------------------------------------------------------------------
@@ -256,7 +247,16 @@ def _sections(spark, sf_dir):
     return sections.sections(_notes(spark, sf_dir), "doc_id").drop("title")
 
 
-@query("section_titles")
+@query(
+    "section_titles",
+    rf"""WITH {NOTES}, ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM notes),
+    f AS (SELECT *, sum(CASE WHEN starts_with(trim(line), '```') OR starts_with(trim(line), '~~~') THEN 1 ELSE 0 END) OVER w AS fences FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+    h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+(.*?)[\s#]*$') AND fences % 2 = 0 AND NOT starts_with(trim(line), '```') AS head FROM f),
+    p AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY no) AS part FROM h),
+    s AS (SELECT doc_id, min(no) + 1 AS page, bool_or(head) AS headed, arg_min(line, no) AS first, string_agg(line, chr(10) ORDER BY no) AS body FROM p GROUP BY doc_id, part)
+    SELECT doc_id, page::INT AS page, array_to_string(list_filter([CASE WHEN headed THEN regexp_extract(first, '^#{{1,6}}\s+(.*?)[\s#]*$', 1) END, array_to_string(regexp_extract_all(body, '{T.TAG}', 1), ' '), CASE WHEN page = 1 THEN lang || ' ' || source END], lambda x: x IS NOT NULL AND x <> ''), ' ') AS title
+    FROM s JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id) WHERE page = 1 OR trim(regexp_replace(body, '\s+', ' ', 'g')) <> ''""",
+)
 def _section_titles(spark, sf_dir):
     return sections.sections(_notes(spark, sf_dir), "doc_id").drop("body")
 
@@ -508,8 +508,43 @@ def _first_note(spark, sf_dir):
 @query("note_scope", f"SELECT DISTINCT dest AS path FROM ({EMBEDS}) WHERE note = 'n/7.md' UNION SELECT 'n/7.md'")
 def _scope(spark, sf_dir):
     _views(spark, sf_dir, "orders")
-    own = spark.sql(EMBEDS).where("note = 'n/7.md'")
-    return own.select(F.explode(F.array("note", "dest")).alias("path")).unionByName(spark.createDataFrame([("n/7.md",)], "path string")).distinct()
+    return changes.scope_of(spark.sql(EMBEDS), "n/7.md")
+
+
+@query(
+    "embed_lines",
+    rf"""WITH {NOTES}, ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS words, unnest(range(len(string_split(text, chr(10))))) AS line FROM notes),
+    each AS (SELECT doc_id, line, unnest(regexp_extract_all(words, 'https://[hg]/[0-9]+\.png')) AS url, unnest(range(len(regexp_extract_all(words, 'https://[hg]/[0-9]+\.png')))) AS nth FROM ln),
+    first AS (SELECT doc_id, url, min(line * 1000 + nth) AS place FROM each GROUP BY doc_id, url)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS i, url, (place // 1000)::INT AS line FROM first""",
+)
+def _embed_lines(spark, sf_dir):
+    return sections.embed_lines(_notes(spark, sf_dir), "doc_id")
+
+
+CLAIMED = "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS worker FROM documents WHERE doc_id < 40"
+
+
+@query(
+    "queue_claim",
+    f"""WITH c AS (SELECT * FROM ({CLAIMED}) WHERE worker <> 'a'), free AS (SELECT id FROM ({OLD}) WHERE status = 'ocr' AND id NOT IN (SELECT id FROM c) ORDER BY id LIMIT 25)
+    SELECT id, worker FROM c UNION ALL SELECT id, 'new' FROM free""",
+)
+def _claim(spark, sf_dir):
+    """A worker is lost, and another one claims what waits."""
+    old = _old(spark, sf_dir)
+    return changes.claim(old, changes.release(spark.sql(CLAIMED), "a"), "ocr", "new", 25)
+
+
+@query(
+    "layout_upgrade",
+    f"""WITH f AS (SELECT id, CASE WHEN id % 4 = 0 THEN 'pdf' ELSE kind END AS kind, status FROM ({OLD}))
+    SELECT id, kind, CASE WHEN kind = 'pdf' THEN 'pending' WHEN kind = 'text' AND id % 7 = 2 THEN 'ocr' ELSE status END AS status FROM f""",
+)
+def _upgrade(spark, sf_dir):
+    files = _old(spark, sf_dir).withColumn("kind", F.when(F.col("id") % 4 == 0, "pdf").otherwise(F.col("kind")))
+    chunks = spark.sql("SELECT doc_id AS file_id, CASE WHEN doc_id % 7 = 2 THEN 'ocr' ELSE 'text' END AS source FROM documents")
+    return migrate.upgraded(3, {"pdf": "1"}, files, chunks)[1].select("id", "kind", "status")
 
 
 @query("living_results", f"SELECT o.path FROM ({OLD}) o WHERE EXISTS (SELECT 1 FROM ({NEW}) n WHERE n.path = o.path)")
@@ -538,7 +573,7 @@ def _homoglyphs(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.latin(F.concat(F.lit("ВТ Нос "), "lang"), F.lit("en-US")).alias("text"))
 
 
-@query("osa_distance")
+@query("osa_distance", "SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b, damerau_levenshtein(a, b)::INT AS distance FROM part")
 def _osa(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select("p_partkey", F.element_at(F.split("p_name", " "), 1).alias("a"), F.element_at(F.split("p_name", " "), -1).alias("b"))
     return parts.withColumn("distance", T.osa("a", "b"))

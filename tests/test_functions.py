@@ -1,4 +1,7 @@
+import http.server
 import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +84,68 @@ def test_readers():
     assert extract.pdf_pages("\fb\f\fd\f") == [(1, ""), (2, "b"), (4, "d")]
     assert extract.markup_text(b"<p>a&amp;b</p><script>x</p></script><br/>c") == "a&b\n\nc"
     assert extract.missing_tools({"pdf", "text", "image"}, extract.Backend(ocr=lambda b: "")) == ["pdf"]
+
+
+def test_models_and_tokens():
+    from tesserae.functions import models
+
+    urls = {"": "http://127.0.0.1:11434", "0.0.0.0": "http://127.0.0.1:11434", "box:8080": "http://box:8080", "https://far.example/api/": "https://far.example:11434/api", "[::1]:9": "http://[::1]:9", "http://x:port": "http://127.0.0.1:11434"}
+    assert {h: models.base_url(h) for h in urls} == urls
+    assert models.chosen_model(["mix", "llama3.2:1b"]) == "llama3.2:1b" and models.chosen_model(["mix"]) == "mix" and models.chosen_model([], "own") == "own"
+    with pytest.raises(LookupError):
+        models.chosen_model([])
+    token = models.new_token()
+    assert len(token) == 64 and models.same_token(token, token) and not models.same_token("x", token) and not models.same_token("", "")
+
+
+class Images(http.server.BaseHTTPRequestHandler):
+    asked: list[str] = []
+
+    def do_GET(self):
+        Images.asked.append(self.path)
+        if self.path == "/slow.png" and Images.asked.count("/slow.png") == 1:
+            time.sleep(1.5)
+        body = b"y" * (5000 if self.path == "/big.png" else 10)
+        self.send_response(404 if self.path == "/none.png" else 200)
+        self.send_header("Content-Type", "text/html" if self.path == "/page" else "image/png")
+        self.end_headers()
+        try:
+            self.wfile.write(body)
+        except OSError:
+            pass
+
+    def log_message(self, *_):
+        pass
+
+
+def test_remote_images():
+    from tesserae.sources import remote
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Images)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    assert remote.fetch(f"{base}/a.png", hedge=1) == b"y" * 10
+    started = time.monotonic()
+    assert remote.fetch(f"{base}/slow.png", hedge=0.2) == b"y" * 10 and time.monotonic() - started < 1.2 and Images.asked.count("/slow.png") == 2
+    for url, most in ((f"{base}/page", 100), (f"{base}/big.png", 100), ("file:///etc/hosts", 100)):
+        with pytest.raises(remote.NotAnImage):
+            remote.fetch(url, most)
+    with pytest.raises(OSError):
+        remote.fetch(f"{base}/none.png")
+    assert Images.asked.count("/none.png") == 1
+    server.shutdown()
+
+
+def test_recognition_codes_equal_the_column(spark):
+    settings = ["", "en-US", " fr-FR , de", "xx-YY", "zh-Hant", "en, en-GB,hi-IN"]
+    rows = spark.createDataFrame([(s,) for s in settings], "s string").select("s", T.recognition_languages("s").alias("codes")).collect()
+    assert {r.s: r.codes for r in rows} == {s: extract.recognition_codes(s) for s in settings}
+
+
+def test_tools_are_looked_for_again(monkeypatch):
+    extract._tools.clear()
+    assert extract.tool("no-such-program-here") is None
+    monkeypatch.setattr(extract.shutil, "which", lambda n: f"/bin/{n}")
+    assert extract.tool("no-such-program-here") is None
+    monkeypatch.setattr(extract, "LOOK_AGAIN", -1.0)
+    assert extract.tool("no-such-program-here") == "/bin/no-such-program-here"
