@@ -20,6 +20,7 @@ from .streaming.store import Snapshots
 
 #: The index is built anew when more than one file in REBUILD has changed since it was; until then the changed files' rows lie beside it.
 REBUILD = 16
+FILE_COLUMNS = [c.split()[0] for c in FILES.split(", ")]
 CHUNK_COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
 
 
@@ -46,6 +47,13 @@ class Engine:
         out._index = tables
         return out
 
+    def load(self, files: DataFrame, chunks: DataFrame) -> None:
+        """Takes tables of files and chunks from elsewhere in place of a folder, and builds the index."""
+        own = self.store.scratch(chunks.select(CHUNK_COLUMNS))
+        self.store.write({"files": files.select(FILE_COLUMNS)} | self._built(own) | {"sizes": index.file_sizes(own)})
+        self.store.clear_scratch()
+        self._index = None
+
     def _create(self) -> None:
         empty = lambda ddl: self.spark.createDataFrame([], ddl)
         chunks = empty(CHUNKS)
