@@ -11,9 +11,12 @@ Tokens are words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, then one end of text
 context is the beginning of the text. Unknown tokens have a share of the lower order's smoothed mass;
 after an unknown context the lower order alone decides.
 
+The pairs at the beginning of texts, which share one context, are dealt to shards by their second
+token; the context's numbers, which are few, go with what scored() needs.
+
 Files are written under another name and then renamed, so that a task that is run again, or twice,
-leaves the same model. Where the folder isn't a file: path, workers copy shards to a temporary
-folder of their own first.
+leaves the same model. Where the folder isn't a file: path, workers copy shards to temporary files
+without a name first, which end with the worker.
 
 Defined results: a null text is empty and has the end token only; rows that repeat count each; a null
 id counts as the empty text for the fold; without training documents every probability is 1 and every
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, remainder, scratch, span_hashes, stored, text_blocks, words_of
+from .common import LOWER, discard, remainder, scratch, span_hashes, stored, text_blocks, words_of
 
 #: Bits of the least number of shards, and tokens that a task counts at a time.
 BITS, CHUNK = 6, 1 << 22
@@ -70,15 +73,19 @@ class Store:
         """The array, mapped into memory; empty if there is no such file."""
         key = self.folder, name
         if key not in _open:
-            path = f"{self.local}/{name}"
             if self.local is None:
                 store, at = self._remote()
-                path = f"{tempfile.mkdtemp()}/{name}"
+                path = tempfile.TemporaryFile()
                 if store.get_file_info(f"{at}/{name}").is_file:
-                    with store.open_input_stream(f"{at}/{name}") as src, open(path, "wb") as to:
+                    with store.open_input_stream(f"{at}/{name}") as src:
                         while part := src.read(1 << 22):
-                            to.write(part)
-            _open[key] = np.asarray(np.memmap(path, kind, "r")) if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+                            path.write(part)
+                path.flush()
+                size = path.tell()
+            else:
+                path = f"{self.local}/{name}"
+                size = os.path.getsize(path) if os.path.exists(path) else 0
+            _open[key] = np.asarray(np.memmap(path, kind, "r")) if size else np.zeros(0, kind)
         return _open[key]
 
 
@@ -140,8 +147,8 @@ def _merged(batches):
         yield at, *_counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _stats(shard: int, *numbers: int):
-    return pa.RecordBatch.from_arrays([pa.array(["stats"]), pa.array([shard], pa.int32()), pa.array([np.array(numbers, np.int64).tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["kind", "shard", "keys", "counts"])
+def _stats(shard: int, *numbers: int, kind: str = "stats"):
+    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([shard], pa.int32()), pa.array([np.array(numbers, np.int64).tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["kind", "shard", "keys", "counts"])
 
 
 def _of_counts(counts: np.ndarray) -> list[int]:
@@ -204,27 +211,34 @@ class Model:
         return out
 
     def shard_of(self, ids: np.ndarray) -> np.ndarray:
-        """The shard of each id; the beginning of text, whose id is the number of tokens, has one of its own."""
-        return np.where(ids >= self.size, 1 << self.bits, np.searchsorted(self.bases, ids, "right") - 1)
+        """The shard of each id."""
+        return np.searchsorted(self.bases, ids, "right") - 1
+
+    def shard_of_pairs(self, keys: np.ndarray) -> np.ndarray:
+        """The shard of each bigram key: that of its first token; at the beginning of texts, whose id is the number of tokens, others, by the second token."""
+        before, ids = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return np.where(before >= self.size, (1 << self.bits) + self.shard_of(ids), self.shard_of(before))
 
     def gather(self, name: str, ids: np.ndarray, kind=np.int64, shape: int = 1) -> np.ndarray:
-        """Values that lie by id; ids ascending, -1 gives 0."""
+        """Values that lie by id; ids ascending, -1 and the beginning of texts give 0."""
         out = np.zeros((len(ids), shape), kind)
-        first = int(np.searchsorted(ids, 0))
-        for shard, s, e in self.by_shard(self.shard_of(ids[first:])):
+        first, end = np.searchsorted(ids, [0, self.size]).tolist()
+        for shard, s, e in self.by_shard(self.shard_of(ids[first:end])):
             values = self.store.load(f"{name}-{shard}", kind).reshape(-1, shape)
             if len(values):
-                out[first + s : first + e] = values[ids[first + s : first + e] - (self.size if shard >> self.bits else self.bases[shard])]
+                out[first + s : first + e] = values[ids[first + s : first + e] - self.bases[shard]]
         return out[:, 0] if shape == 1 else out
 
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
         """Counts of distinct ascending bigram keys."""
         out = np.zeros(len(keys), np.int64)
-        for shard, s, e in self.by_shard(self.shard_of((keys >> np.uint64(32)).astype(np.int64))):
+        for shard, s, e in self.by_shard(self.shard_of_pairs(keys)):
             known = self.store.load(f"pair-{shard}", np.uint64)
             if len(known):
+                counts = self.store.load(f"paircount8-{shard}", np.int64)
+                counts = counts if len(counts) else self.store.load(f"paircount-{shard}", np.uint32)
                 k = np.minimum(np.searchsorted(known, keys[s:e]), len(known) - 1)
-                out[s:e] = np.where(known[k] == keys[s:e], self.store.load(f"paircount-{shard}", np.uint32)[k], 0)
+                out[s:e] = np.where(known[k] == keys[s:e], counts[k], 0)
         return out
 
     def pairs(self, data: np.ndarray, offsets: np.ndarray):
@@ -245,7 +259,7 @@ def _bigrams(args):
 
         def out():
             keys, counts = _counted(np.concatenate(held))
-            return _rows("pair", model.shard_of((keys >> np.uint64(32)).astype(np.int64)), keys, counts)
+            return _rows("pair", model.shard_of_pairs(keys), keys, counts)
 
         for _, data, offsets in text_blocks(batches, "text", 1 << 22):
             ids, before, _, _ = model.pairs(data, offsets)
@@ -264,15 +278,20 @@ def _save_bigrams(args):
     def run(batches):
         model = Model(*args)
         for shard, keys, counts in _merged(batches):
-            base = model.size if shard >> model.bits else int(model.bases[shard])
-            n = 1 if shard >> model.bits else int(model.bases[shard + 1]) - base
+            begin = shard >> model.bits
+            base = model.size if begin else int(model.bases[shard])
+            n = 1 if begin else int(model.bases[shard + 1]) - base
             context = (keys >> np.uint64(32)).astype(np.int64) - base
             table = np.zeros((n, 4), np.int64)  # total, and how many counts are 1, 2, more
             np.add.at(table[:, 0], context, counts)
             np.add.at(table, (context, np.minimum(counts, 3)), 1)
             model.store.save(f"pair-{shard}", keys)
-            model.store.save(f"paircount-{shard}", np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
-            model.store.save(f"context-{shard}", table)
+            large = len(counts) and counts.max() >= 1 << 32
+            model.store.save(f"paircount8-{shard}" if large else f"paircount-{shard}", counts if large else counts.astype(np.uint32))
+            if begin:
+                yield _stats(shard, *table[0].tolist(), kind="begin")
+            else:
+                model.store.save(f"context-{shard}", table)
             yield _stats(shard, len(keys), *_of_counts(counts))
             after, kinds = _counted(keys & np.uint64(0xFFFFFFFF))
             yield _rows("after", model.shard_of(after.astype(np.int64)), after, kinds)
@@ -307,18 +326,19 @@ def train(docs: DataFrame, tag: str = "lm") -> dict:
     bits = max(BITS, (docs.rdd.getNumPartitions() // 2).bit_length())
     folder = scratch(spark, tag)
     by_shard = lambda df: df.repartition("shard").sortWithinPartitions("shard")
-    numbers = lambda df: {r.shard: np.frombuffer(r.keys, np.int64).tolist() for r in df.where("kind = 'stats'").select("shard", "keys").collect()}
+    numbers = lambda df, kind="stats": {r.shard: np.frombuffer(r.keys, np.int64).tolist() for r in df.where(F.col("kind") == kind).select("shard", "keys").collect()}
     sizes = numbers(by_shard(docs.mapInArrow(_unigrams(bits), ROW)).mapInArrow(_save_unigrams(folder), ROW))
     bases = np.cumsum([0] + [sizes.get(s, [0])[0] for s in range(1 << bits)]).tolist()
     if bases[-1] >= 1 << 32:
         raise ValueError("more than 2^32 distinct tokens")
     args = (folder, bits, bases)
     pairs = stored(by_shard(docs.mapInArrow(_bigrams(args), ROW)).mapInArrow(_save_bigrams(args), ROW), "after")
-    of_pairs = numbers(pairs)
+    of_pairs, begin = numbers(pairs), numbers(pairs, "begin")
     of_after = numbers(by_shard(pairs.where("kind = 'after'")).mapInArrow(_save_continuations(args), ROW))
+    discard(pairs)
     added = lambda x, k: sum(v[k] for v in x.values())
     return {
-        "args": args, "tokens": added(sizes, 1), "pairs": added(of_pairs, 0), "high": discounts([added(of_pairs, k) for k in range(1, 5)]),
+        "args": args, "tokens": added(sizes, 1), "begin": [added(begin, k) for k in range(4)], "pairs": added(of_pairs, 0), "high": discounts([added(of_pairs, k) for k in range(1, 5)]),
         "low": discounts([added(of_after, k) for k in range(1, 5)]), "low_counts": [added(of_after, 1), added(of_after, 2), added(of_after, 5)],
     }
 
@@ -353,7 +373,9 @@ def _score(m: dict):
             pair = np.zeros(len(ids), np.int64)
             pair[known] = model.bigrams(keys)[at]
             contexts, where = np.unique(before, return_inverse=True)
-            context = model.gather("context", contexts, shape=4)[where]
+            context = model.gather("context", contexts, shape=4)
+            context[contexts == size] = m["begin"]
+            context = context[where]
             p = np.log10(probabilities(m, count[back], after[back], pair, context))
             base = np.log10((count[back] + 0.1) / (n + 0.1 * (size + 1)))
             total = lambda x: np.add.reduceat(x, heads)  # noqa: B023, E731
