@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WORD, discard, lists, long_view, met_by, mixed, span_hashes, stored, text_blocks, windows_of, words_of
 from .components import components
 
-N, HASHES, STEP, TOLERANCE, BLOCK, FEW = 5, 128, 16, 1e-7, 256, 1 << 20
+N, HASHES, STEP, TOLERANCE, BLOCK, FEW = 5, 128, 16, 1e-7, 256, 1 << 18
 #: Similarity as a fraction: 4/5.
 OVER, UNDER = 4, 5
 _seeds = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * WORD)

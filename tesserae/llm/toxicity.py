@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import discard, remainder, span_hashes, stored, text_blocks
 
 ROWS, WORDS, POOL, HARD, LANDMARKS, DECAY, SPAN, ROUNDS, LEAST, FLOOR, TOP = 2000, 1 << 20, 8000, 4000, 256, 0.5, 4, 3, 3, -2.0, 2.0
-GAPPED, JOIN, CHUNK, LETTERS = 2, 8, 1 << 20, 0x32400
+GAPPED, JOIN, CHUNK, PART, LETTERS = 2, 8, 1 << 20, 1 << 17, 0x32400
 OFFSETS = [(j, k) for k in range(2, SPAN + 1) for j in range(1, k)]
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _known: dict = {}
@@ -118,11 +118,17 @@ def margins(codes: np.ndarray, zeros: np.ndarray, table: np.ndarray, bias: float
     _, first, back = np.unique(span_hashes(codes, zeros[long] + 1, zeros[long] + 1 + size[long]), return_index=True, return_inverse=True)
     of = long[first]
     n = size[of] + 1  # with the zero before
-    heads = np.cumsum(n) - n
-    own = np.append(codes[np.arange(n.sum()) + np.repeat(zeros[of] - heads, n)], np.uint8(0))
-    triple, word, weight = weighed(own, np.append(np.repeat(np.arange(len(of)), n), len(of)))
-    value, norm = np.bincount(word, weight * table[triple], len(of)), np.bincount(word, weight * weight, len(of))
-    out[long] = np.clip(value / np.sqrt(np.maximum(norm, 1e-9)) + bias, FLOOR, TOP)[back]
+    total = np.cumsum(n)
+    found = np.zeros(len(of))
+    i = 0
+    while i < len(of):  # some words at a time, as each of their characters begins several triples
+        j = max(i + 1, int(np.searchsorted(total, total[i] - n[i] + PART, "right")))
+        heads = total[i:j] - n[i:j] - (total[i] - n[i])
+        own = np.append(codes[np.arange(n[i:j].sum()) + np.repeat(zeros[of[i:j]] - heads, n[i:j])], np.uint8(0))
+        triple, word, weight = weighed(own, np.append(np.repeat(np.arange(j - i), n[i:j]), j - i))
+        found[i:j] = np.bincount(word, weight * table[triple], j - i) / np.sqrt(np.maximum(np.bincount(word, weight * weight, j - i), 1e-9))
+        i = j
+    out[long] = np.clip(found + bias, FLOOR, TOP)[back]
     return out
 
 
