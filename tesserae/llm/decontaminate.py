@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WORD, long_view, mixed, powers, span_hashes, stored, text_blocks, words_of
 
-WINDOW, LITERALS, MIN_SHARE, CONSISTENT, RUN, BOUND = 8, 4, 0.5, 0.7, 13, 1 << 21
+WINDOW, LITERALS, MIN_SHARE, CONSISTENT, RUN, BOUND, FEW = 8, 4, 0.5, 0.7, 13, 1 << 21, 1 << 17
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half third quarter dozen".split()
 UNITS = "mm cm m km in inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds lb lbs oz ounce ounces ton tons ml l litre litres liter liters gallon gallons second seconds s sec minute minutes min hour hours h day days week weeks month months year years percent degrees degree dollar dollars cent cents euro euros usd eur mph kmh watt watts volt volts joule joules newton newtons hz khz mhz".split()
 _byte = np.arange(256)
@@ -153,12 +153,13 @@ def matches(docs: DataFrame, items: DataFrame, bound: int = BOUND) -> tuple[Data
     """The documents (doc_id, text_key), and (text_key, item_id, covered, share) of each contaminated text and item."""
     windows = stored(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, "item_id long, n_words int, kind int, n int, h long, item_at int, item_from int, item_to int, item_slots array<long>"), "windows")
     sizes = sorted((r.kind, r.n) for r in windows.select("kind", "n").distinct().collect())  # at most 3 * WINDOW
-    table = None
-    if windows.count() <= bound:
-        table = np.unique(np.array([r.h for r in windows.select("h").distinct().collect()], np.int64).view(np.uint64))
+    table, n_windows = None, windows.count()
+    if n_windows <= bound:
+        table = np.unique(windows.select("h").distinct().toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text").mapInArrow(_hits(sizes, table), f"doc_id long, text_key long, hits array<{HIT}>"), "hits")
     hits = rows.where(F.size("hits") > 0).groupBy("text_key").agg(F.any_value("hits").alias("hits")).select("text_key", F.explode("hits").alias("x")).select("text_key", "x.h", "x.at", "x.slots")
-    met = hits.join(windows, "h").withColumn("shift", F.col("at") - F.col("item_at"))
+    # windows that very many texts hold meet no single task where the benchmark's windows are few
+    met = hits.join(F.broadcast(windows) if n_windows <= min(bound, FEW) else windows, "h").withColumn("shift", F.col("at") - F.col("item_at"))
     place = ["text_key", "item_id", "kind", "shift"]
     pairs = met.select(*place, F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("p")).groupBy(*place, "p.i", "p.d").count()
     agreed = pairs.groupBy(*place, "i").agg(F.max("count").alias("most"), F.sum("count").alias("all")).groupBy(*place).agg((F.sum("most") / F.sum("all")).alias("agreement"))

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import stored, text_blocks, words_of
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
-#: What a sequence costs beside its padded length, in tokens; ranks within a length are dealt to SALTS parts.
-OVERHEAD, SALTS = 16, 32
-PIECES = "doc_id long, piece int, start_token long, n_tokens int, salt int"
+#: What a sequence costs beside its padded length, in tokens; pieces of a length are ranked in parts of about PART.
+OVERHEAD, PART = 16, 1 << 18
+PIECES = "doc_id long, piece int, start_token long, n_tokens int"
 
 
 class Plan:
@@ -114,7 +114,7 @@ def planned(counts: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, ov
     return best
 
 
-def _pieces(capacity: int, salts: int):
+def _pieces(capacity: int):
     def run(batches):
         for part, data, offsets in text_blocks(batches, "text"):
             n = len(offsets) - 1
@@ -125,8 +125,7 @@ def _pieces(capacity: int, salts: int):
             start = piece * capacity
             size = np.minimum(tokens[row] - start, capacity)
             ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(row))
-            salt = (part.column(part.schema.get_field_index("salt")).to_numpy(zero_copy_only=False)[row] + piece) % salts
-            yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(salt, pa.int32())], [c.split()[0] for c in PIECES.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int32())], [c.split()[0] for c in PIECES.split(", ")])
 
     return run
 
@@ -148,11 +147,19 @@ def _dealt(ranges: np.ndarray, bins: np.ndarray):
     return run
 
 
-def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, salts: int = SALTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start_token, n_tokens, bin_id, bin_capacity, bin_offset): every token of every document in one bin."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id, text), F.lit(salts)).cast("int").alias("salt"))
-    pieces = stored(rows.mapInArrow(_pieces(max(capacities), salts), PIECES), "pieces")
-    by_salt = pieces.groupBy("n_tokens", "salt").count().collect()  # at most capacity x salts rows
+def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, part: int = PART, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, piece, start_token, n_tokens, bin_id, bin_capacity, bin_offset): every token of every document in one bin.
+
+    Pieces of one length are told apart by their place in the stored table alone, so that rows that repeat are dealt like others.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    pieces = stored(rows.mapInArrow(_pieces(max(capacities)), PIECES), "pieces")
+    parts = [(r.n_tokens, -(-r["count"] // part)) for r in pieces.groupBy("n_tokens").count().collect()]  # at most capacity rows
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    parted = pieces.select("*", place.alias("place")).join(F.broadcast(spark.createDataFrame(parts, "n_tokens int, parts long")), "n_tokens")
+    pieces = parted.withColumn("salt", F.pmod("place", "parts").cast("int")).drop("place", "parts")
+    by_salt = pieces.groupBy("n_tokens", "salt").count().collect()  # at most a row for each length and each part pieces
     counts: dict[int, int] = {}
     before = []
     for r in sorted(by_salt):
@@ -161,7 +168,7 @@ def packed(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead:
     plan = planned(counts, capacities, overhead)
     ranges = np.array(sorted(plan.ranges), np.int64).reshape(-1, 6)
     bins = np.array(plan.bins(), np.int64).reshape(-1, 4)
-    offsets = docs.sparkSession.createDataFrame(before, "n_tokens int, salt int, before long")
+    offsets = spark.createDataFrame(before, "n_tokens int, salt int, before long")
     own = F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")) - 1
     ranked = pieces.withColumn("own", own).join(F.broadcast(offsets), ["n_tokens", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
     return ranked.select("doc_id", "piece", "start_token", "n_tokens", "rank").mapInArrow(_dealt(ranges, bins), "doc_id long, piece int, start_token long, n_tokens int, bin_id long, bin_capacity int, bin_offset int")

@@ -257,8 +257,8 @@ def test_packing_by_counts_equals_packing_one_by_one():
 
 def test_packing_holds_every_token_once(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for frame in (docs, odd):
-        rows = packing.packed(frame, (64, 128, 256)).collect()
+    for frame, part in ((docs, packing.PART), (docs, 5), (odd, 2)):
+        rows = packing.packed(frame, (64, 128, 256), part=part).collect()
         by_bin = {}
         for r in rows:
             by_bin.setdefault(r.bin_id, []).append(r)
