@@ -20,15 +20,23 @@ def main() -> None:
     parser.add_argument("--store", required=True, help="where the tables lie")
     parser.add_argument("--ignore", action="append", default=[])
     parser.add_argument("--limit", type=int, default=20)
+    parser.add_argument("--settings", help="a JSON file with ignored folders and recognition languages")
+    parser.add_argument("--stored", action="store_true", help="search the tables as they are, without a look at the folder")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("tesserae").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     engine = Engine.open(spark, args.folder, args.store, ignore=args.ignore)
+    if args.settings:
+        with open(args.settings, encoding="utf-8") as f:
+            engine.configure(f.read())
+        engine.ignore += args.ignore
     if args.command == "index":
         engine.refresh(retry_errors=True)
     elif args.command == "reset":
         engine.reset()
     if args.command == "search":
+        if not args.stored:
+            engine.refresh()
         found = engine.search(" ".join(args.words), limit=args.limit)
         if engine.corrected:
             print(f"Showing results for {engine.corrected}")

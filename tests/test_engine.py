@@ -150,6 +150,19 @@ def test_changes_of_a_file_leave_the_built_index(spark, tmp_path, monkeypatch):
     assert want == got and one.store.read("postings").inputFiles() != built
 
 
+def test_a_root_with_a_scheme(spark, tmp_path):
+    from tesserae.sources import vault
+
+    (tmp_path / "in" / ".dot").mkdir(parents=True)
+    for path, text in {"a.md": "one", "in/b.txt": "two", "in/c.zzz": "no kind", "in/.dot/d.md": "hidden"}.items():
+        (tmp_path / path).write_text(text)
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        files = vault.listing(spark, root)
+        assert {(r.path, r.kind, r.size) for r in files.collect()} == {("a.md", "text", 3), ("in/b.txt", "text", 3)}
+        both = files.select("path").union(spark.createDataFrame([("gone.md",)], "path string"))
+        assert {r.path: r.content and bytes(r.content) for r in vault.contents(both, root).collect()} == {"a.md": b"one", "in/b.txt": b"two", "gone.md": None}
+
+
 def test_settings(spark, tmp_path):
     (tmp_path / "vault").mkdir()
     (tmp_path / "vault" / "a.png").write_bytes(b"x")
