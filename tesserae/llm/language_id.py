@@ -22,7 +22,7 @@ dense table, those of the others in sorted arrays; letters of no sample match no
 Defined results: a null text, or one without a letter, is ``und`` with score 0; of equal languages
 the first by name wins; rows that repeat give equal results each; without any labelled row every
 text is ``und``; an empty table gives an empty result; a null id counts as the empty text for the
-fold. score: the share of the runner-up's bits in the sum of the two, 0.5 to 1 (1 if there is one
+fold; other columns, whatever their names, are not read. score: the share of the runner-up's bits in the sum of the two, 0.5 to 1 (1 if there is one
 language only).
 """
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, jaccard_join, language_id, lm_score, packing, quality_rules, suffix_dedup, toxicity
 from tesserae.llm.common import remainder
@@ -279,7 +280,7 @@ def test_language_id(spark, odd, none):
     out = [r for r in got if r.held_out]
     assert len(got) == 1000 and sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out) and all(0 <= r.score <= 1 for r in got)
     samples = {"en": ["the cat sat on the mat and the dog"], "fr": ["le chat est sur la table et le chien"]}
-    rows = odd.select("doc_id", remainder("doc_id", 4).eqNullSafe(2).alias("held_out"), "text")
+    rows = odd.withColumn("held_out", remainder("doc_id", 4).eqNullSafe(2)).withColumn("lang_pred", F.lit("x"))
     found = language_id.predicted(rows, samples).collect()
     assert len(found) == 10 and all(r.lang_pred == "und" and r.score == 0 for r in found if r.doc_id in (2, 3, 5, 6)) and language_id.predicted(none.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "text"), samples).count() == 0
     assert {r.lang_pred for r in language_id.predicted(rows, {}).collect()} == {"und"}
@@ -323,7 +324,7 @@ def test_language_id_knows_letters_of_all_planes(spark):
 
 
 def test_lm_score(spark, odd, none):
-    rows = lambda f: f.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "text")
+    rows = lambda f: f.withColumn("held_out", remainder("doc_id", 10) == 0).withColumn("n_tokens", F.lit("x"))
     got = lm_score.scored(rows(odd), lm_score.train(odd)).collect()
     assert len(got) == 10 and all(r.n_tokens == 1 for r in got if r.doc_id in (2, 3, 5)) and all(r.score <= 0 for r in got)
     assert {r.score for r in lm_score.scored(rows(odd), lm_score.train(none)).collect()} == {0.0}
