@@ -60,8 +60,9 @@ def frequencies(postings: DataFrame, found: list[Probe]) -> DataFrame:
         count = marked.groupBy("rowid", "len", "col", F.col("x.probe").alias("probe")).agg(F.sum(F.size("pos")).alias("tf"))
     else:
         size = F.element_at(F.array(*[F.lit(len(p.tokens)) for p in found]), F.col("probe") + 1)
-        follows = lambda p: reduce(lambda a, b: a & b, [(size <= s) | F.array_contains(f"p{s}", p + s) for s in range(1, longest)])
-        count = marked.groupBy("rowid", "len", "col", F.col("x.probe").alias("probe")).agg(*places).withColumn("tf", F.size(F.filter("p0", follows)))
+        # the places where a phrase begins: those of each of its words, moved to the first one's, in common
+        begins = reduce(lambda at, s: F.when(size > s, F.array_intersect(at, F.transform(f"p{s}", lambda x: x - s))).otherwise(at), range(1, longest), F.col("p0"))
+        count = marked.groupBy("rowid", "len", "col", F.col("x.probe").alias("probe")).agg(*places).withColumn("tf", F.size(begins))
     weight = F.element_at(F.array(*[F.lit(WEIGHTS[c]) for c in ("name", "title", "body")]), F.col("col") + 1)
     sums = [F.coalesce(F.sum(F.when(F.col("probe") == k, weight * F.col("tf"))), F.lit(0.0)).alias(f"f{k}") for k in range(len(found))]
     return count.groupBy("rowid", "len").agg(*sums)
