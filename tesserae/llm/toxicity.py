@@ -11,7 +11,7 @@ each run of single letters), in training and scoring alike, so that a word gappe
 
 Labels are of documents, insults are words: toxic training documents name their most telling word
 (at first by how often its letter groups occur in toxic and in clean documents, then by the machine
-itself), clean ones give words as negatives, the hardest of each round among them. The machine is a
+itself), clean ones give words as negatives, the hardest of each round among them. A word weighs as often as it is named, so that labels set in error, whose words nobody else names, count little. The machine is a
 linear squared-hinge classifier in the Nystrom space of LANDMARKS words. As the kernel is an inner
 product of subsequence counts, the decision function folds into one table of weights, one for each
 triple of characters; a text is scored through this table in time linear in its length. The three
@@ -327,7 +327,7 @@ def fitted(samples: list[tuple[bytes, int, int]], landmarks: int = LANDMARKS, po
         root = vector_k @ np.diag(1 / np.sqrt(np.maximum(value_k, 1e-3))) @ vector_k.T
         x = kernel([words[w] for w in pos + neg], dense) @ root.astype(np.float32)
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-        cost = np.concatenate([np.sqrt([times[w] for w in pos]), np.ones(len(neg))])
+        cost = np.concatenate([np.array([times[w] for w in pos], float), np.ones(len(neg))])
         cost[: len(pos)] *= len(neg) / max(cost[: len(pos)].sum(), 1) * 0.5
         w = svm(x, y, cost)
         table, bias = (dense @ (root @ w[:-1]).astype(np.float32)), float(w[-1])
