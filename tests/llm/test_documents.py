@@ -1,15 +1,19 @@
 """Operators over documents: odd rows, empty tables, brute force, SQL."""
 
 import hashlib
+import math
 import random
+import re
+import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, jaccard_join, language_id, lm_score, packing, quality_rules, suffix_dedup, toxicity
-from tesserae.llm.common import remainder
+from tesserae.llm.common import remainder, span_hashes
 from tesserae.llm.components import components
 from tesserae.llm.suffix_array import Intervals, common_prefixes, suffix_array
 
@@ -331,6 +335,43 @@ def test_lm_score(spark, odd, none):
     assert lm_score.scored(rows(none), lm_score.train(odd)).count() == 0
 
 
+def contract_of_lm_score(rows):
+    """held_out, n_tokens, n_known, train_tokens and base_score of each (doc_id, text), by the words themselves."""
+    upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(upper)), None] for _, t in rows]
+    out = [zlib.crc32(str("" if i is None else i).encode()) % 10 == 0 for i, _ in rows]
+    counts = Counter(w for t, o in zip(tokens, out, strict=True) if not o for w in t)
+    n, base = counts.total(), counts.total() + 0.1 * (len(counts) + 1)
+    return [(o, len(t), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 0.1) / base) for w in t)) for t, o in zip(tokens, out, strict=True)]
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_lm_score_tells_words_of_one_hash_apart(spark, tmp_path, kind):
+    one, other = "a", "b"
+    for _ in range(10):  # no polynomial modulo 2^64 tells these two from each other
+        one, other = one + other, other + one
+    data = np.frombuffer(f"{one}{other}".encode(), np.uint8)
+    assert len(set(span_hashes(data, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 1
+    pairs = [f"{one} x", f"{other} {one.upper()} y", f"{'p' * 100}{one}", f"{'p' * 100}{other} x {other}{one}", f"{one}{other} \x00 \x85\u00a0É é \x1c", None, "", " \n", "x Y"]
+    rows = [(i, pairs[i % len(pairs)]) for i in range(1, 61)]
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows.append((held, f"{other}{other} {one}{one} q" + other))  # the training texts have no such words, but one of the hash of the first two
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = dict(zip([i for i, _ in rows], contract_of_lm_score(rows), strict=True))
+    found = lm_score.query(spark, str(tmp_path))
+    assert dict(found.dtypes)["doc_id"] == dict(docs.dtypes)["doc_id"]
+    got = {int(r.doc_id): r for r in found.collect()}
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == {i: w[:4] for i, w in want.items()}
+    assert all(abs(got[i].base_score - w[4]) <= 0.0000501 for i, w in want.items())  # the query rounds as its SQL does
+    exact = docs.withColumn("held_out", remainder("doc_id", 10) == 0)
+    for r in lm_score.scored(exact, lm_score.train(exact.where("not held_out"))).collect():
+        assert math.isclose(r.base_score, want[int(r.doc_id)][4], rel_tol=1e-12)
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(map(str, r)) for r in got.values()) == sorted(tuple(map(str, r)) for r in db.execute(lm_score.SQL).fetchall())
+
+
 def test_toxicity(spark, odd, none):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
     got = toxicity.query(spark, "/root/testdata/sf0.01").join(labels, "doc_id").collect()
